@@ -63,6 +63,14 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """`name`, with underscores before it until no column of the frames is called so, in whatever case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of undirected `edges` (a BIGINT, b BIGINT); the root is the least node connected to it.
 
