@@ -240,6 +240,30 @@ def build_index(docs: DataFrame, keys_per_shard: int = KEYS_PER_SHARD) -> LineIn
     return LineIndex(path, shards, {r["shard"]: r["n"] for r in built.collect()})
 
 
+def _without(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndarray, drop: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The bytes of rows without the lines to drop, and the new size of each row.
+
+    A row whose last line goes ends without the newline of the line before."""
+    if not drop.any():
+        return data.tobytes(), np.diff(offsets)
+    edge = np.zeros(len(data) + 1, np.int8)
+    np.add.at(edge, start[drop], 1)
+    np.add.at(edge, end[drop], -1)
+    kept = np.cumsum(edge, dtype=np.int8)[:-1] == 0
+    last = offsets[1:][np.diff(offsets) > 0]
+    begin = offsets[:-1][np.diff(offsets) > 0]
+    cut = ~kept[last - 1]
+    if cut.any():
+        live = np.flatnonzero(kept)
+        tail = np.searchsorted(live, last[cut]) - 1
+        spot = live[np.maximum(tail, 0)] if len(live) else np.zeros(len(tail), np.int64)
+        fix = (tail >= 0) & (spot >= begin[cut]) & (data[spot] == _NEWLINE)
+        kept[spot[fix]] = False
+    total = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(kept, out=total[1:])
+    return data[kept].tobytes(), np.diff(total[offsets])
+
+
 def _prober(index: LineIndex, least_docs: int, most_loss: float, report: bool):
     def clean(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         data, offsets = utf8(column)
@@ -267,29 +291,18 @@ def _prober(index: LineIndex, least_docs: int, most_loss: float, report: bool):
         lines, dropped = np.bincount(row, minlength=n), np.bincount(row, weights=drop, minlength=n).astype(np.int64)
         if not drop.any():
             return column, lines, dropped
-        keep = np.ones(len(data) + 1, np.int8)
-        edge = np.zeros(len(data) + 1, np.int32)
-        np.add.at(edge, start[drop], 1)
-        np.add.at(edge, end[drop], -1)
-        keep = np.cumsum(edge) == 0
-        last = offsets[1:][(np.bincount(row, weights=drop, minlength=n) > 0)]
-        kept = keep[:-1]
-        # A document whose last line goes ends without the newline of the line before.
-        ended = last[(last > 0) & ~kept[np.maximum(last - 1, 0)]]
-        if len(ended):
-            live = np.flatnonzero(kept)
-            tail = np.searchsorted(live, ended) - 1
-            spot = live[np.maximum(tail, 0)]
-            begin = offsets[np.searchsorted(offsets, ended, side="left") - 1]
-            fix = (tail >= 0) & (spot >= begin) & (data[spot] == _NEWLINE)
-            kept[spot[fix]] = False
-        total = np.concatenate([[0], np.cumsum(kept)])
-        new = total[offsets].astype(np.int32 if total[-1] < 2**31 else np.int64)
-        kind = pa.string() if new.dtype == np.int32 else pa.large_string()
-        made = pa.Array.from_buffers(kind, n, [None, pa.py_buffer(new.tobytes()), pa.py_buffer(data[kept].tobytes())])
+        parts, sizes = [], []
+        for lo, hi in chunks(offsets):
+            mine = slice(*np.searchsorted(row, [lo, hi]))
+            base = offsets[lo]
+            part, size = _without(data[base : offsets[hi]], offsets[lo : hi + 1] - base, start[mine] - base, end[mine] - base, drop[mine])
+            parts.append(part)
+            sizes.append(size)
+        new = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+        made = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(new.tobytes()), pa.py_buffer(b"".join(parts))])
         if column.null_count:
-            made = pc.if_else(column.is_null(), pa.scalar(None, kind), made)
-        return made.cast(pa.string()), lines, dropped
+            made = pc.if_else(column.is_null(), pa.scalar(None, pa.string()), made)
+        return made, lines, dropped
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -310,7 +323,7 @@ def _prober(index: LineIndex, least_docs: int, most_loss: float, report: bool):
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows >= PROBE_ROWS or sum(b.nbytes for b in held) > 1 << 26:
+            if rows >= PROBE_ROWS or sum(b.nbytes for b in held) > 1 << 25:
                 yield from flush()
                 held, rows = [], 0
         if held:
