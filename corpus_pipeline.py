@@ -4,8 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import minhash
+from marlstone.llm import bpe, linededup, minhash, mixing, toxicity
 from marlstone.llm.common import scratch_path
+from marlstone.llm.queries import WEIGHTS
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are rejected as toxic go."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents have, or a document repeats, go from the texts."""
+    return linededup.line_dedup(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +24,24 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.deduplicated(docs)
 
 
-STAGES = [("minhash near-dedup", near_dedup)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the sources' weighted mixture, up to its budget."""
+    return mixing.mixture(docs, weights=WEIGHTS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document with its tokens."""
+    return bpe.tokenized(docs)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("line dedup", line_dedup),
+    ("minhash near-dedup", near_dedup),
+    ("mixing", mix),
+    ("byte-level bpe", encode),
+]
+#: Training a compression dictionary is not SQL; the tests hold the run against brute-force versions of the stages.
 ORACLE_SQL = None
 
 
