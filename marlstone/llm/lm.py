@@ -6,10 +6,11 @@ its share of their counts, so that the model gives every id a probability.  Slot
 form `classes` classes: the model predicts the class and then the slot in it.
 
 The model is one layer: embeddings of slot and place, one masked attention head, a residual, two softmaxes.
-It is trained data-parallel: every task takes `fraction` of the windows in its part of the corpus, by a
-hash of their ids, and trains from the same parameters; these are averaged, weighted by tokens, block by
-block in a shuffle, and the next of `rounds` rounds starts from the average.  So what is gathered grows
-with the corpus, and the driver gets one set of parameters a round.
+It is trained data-parallel on `fraction` of all windows of the corpus, chosen by a hash of their ids and
+shuffled into shards of about SHARD_WINDOWS, in the order of that hash.  In each of `rounds` rounds every
+shard of the round's windows trains from the same parameters; these are averaged, weighted by tokens, block
+by block in a shuffle, and the next round starts from the average.  So what is gathered grows with the
+corpus, in windows and in shards, and the driver gets one set of parameters a round.
 
 Scoring runs over windows of `window` ids that overlap: each scores its last `stride` ids, with those before
 as context, so that every id is scored exactly once, many windows in one batch.  Long texts are scored a
@@ -45,6 +46,7 @@ ROUNDS = 3
 RATE = 0.01
 STEP_WINDOWS = 32
 BATCH_WINDOWS = 256
+SHARD_WINDOWS = 1 << 14
 BLOCK = 4096
 NONE = 0xFFFF
 
@@ -266,7 +268,8 @@ def _sampled(shape: Shape, fraction: float, rounds: int):
             inputs, targets = _filled(shape, shape.slot_of[ids], at, row[chosen], first[chosen])
             raw = np.concatenate([inputs, targets], axis=1).astype(np.uint16)
             turn = (mix64(hashes[chosen]) % np.uint64(rounds)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(turn), pa.array([r.tobytes() for r in raw], pa.binary())], names=["turn", "ids"])
+            place = pa.array(hashes[chosen].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(turn), place, pa.array([r.tobytes() for r in raw], pa.binary())], names=["turn", "place", "ids"])
 
     return run
 
@@ -300,10 +303,13 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(ids: DataFrame, shape: Shape, fraction: float = FRACTION, rounds: int = ROUNDS, rate: float = RATE) -> np.ndarray:
     """The parameters, trained on `fraction` of all windows of the packed ids."""
     vector = shape.start()
-    sample, _ = saved(ids.mapInArrow(_sampled(shape, fraction, rounds), "turn int, ids binary"), "lm-windows")
+    sample, _ = saved(ids.mapInArrow(_sampled(shape, fraction, rounds), "turn int, place long, ids binary"), "lm-windows")
+    sizes = {r["turn"]: r["n"] for r in sample.groupBy("turn").agg(F.count("*").alias("n")).collect()}
     parts = max(1, min(-(-shape.total // BLOCK), int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     for turn in range(rounds):
-        local = sample.where(F.col("turn") == turn).mapInArrow(_trainer(shape, vector, rate / (1 + turn)), "block long, weight double, sums binary")
+        shards = max(1, -(-sizes.get(turn, 0) // SHARD_WINDOWS))
+        mine = sample.where(F.col("turn") == turn).select("place", "ids").repartition(shards, "place").sortWithinPartitions("place", "ids")
+        local = mine.mapInArrow(_trainer(shape, vector, rate / (1 + turn)), "block long, weight double, sums binary")
         means = local.repartition(parts, "block").mapInArrow(_averaged, "block long, means binary").collect()
         if means:
             vector = np.frombuffer(b"".join(bytes(r["means"]) for r in sorted(means, key=lambda r: r["block"])), np.float32)
