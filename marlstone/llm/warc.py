@@ -36,6 +36,7 @@ from marlstone.llm.common import remove, saved, scratch_path
 
 SPLIT_BYTES = 64 << 20
 HEADER_BYTES = 1 << 16
+MOST_TASKS = 100_000
 _PLAIN, _PACKED = re.compile(rb"WARC/1\.[01]\r\n"), re.compile(rb"\x1f\x8b\x08")
 _END = b"\r\n\r\n"
 _LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d+)[ \t]*(?=\r\n)", re.IGNORECASE)
@@ -247,7 +248,9 @@ def file_ranges(spark: SparkSession, folder: str, split_bytes: int) -> DataFrame
             files.append((name, f.size, name.endswith(".gz")))
     listed = spark.createDataFrame(sorted(files), "file string, size long, packed boolean")
     cut = listed.withColumn("start", F.explode(F.expr(f"sequence(0L, size - 1, {int(split_bytes)}L)")))
-    return cut.withColumn("end", F.least(F.col("start") + int(split_bytes), "size")).repartition("file", "start")
+    ranges = sum(-(-size // int(split_bytes)) for _, size, _ in files)
+    # A row stands for a whole range of bytes, so the number of tasks is that of ranges, which adaptive planning must not merge.
+    return cut.withColumn("end", F.least(F.col("start") + int(split_bytes), "size")).repartition(max(1, min(ranges, MOST_TASKS)))
 
 
 def reached(pointers: DataFrame) -> DataFrame:
