@@ -41,7 +41,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KEPT_PIECES = 1 << 19
 KEPT_STEPS = 400_000
-ENCODED_BYTES = 1 << 20
+ENCODED_BYTES = 1 << 18
+EMITTED_BYTES = 1 << 21
 _NONE = -1
 
 
@@ -495,7 +496,7 @@ def _encoded(path: str, pattern: str, check: bool):
         for batch in batches:
             column = batch.column("text")
             _, offsets = utf8(column)
-            for lo, hi in chunks(offsets, 1 << 22):
+            for lo, hi in chunks(offsets, EMITTED_BYTES):
                 part = column.slice(lo, hi - lo)
                 flat, ends = encode_column(part, encoder)
                 arrays = [batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(ends)), _lists(flat, ends, part)]
@@ -520,7 +521,7 @@ def _tokenized(path: str, pattern: str, text: str, names: tuple[str, str]):
         encoder, _ = coder(path, pattern)
         for batch in batches:
             _, offsets = utf8(batch.column(text))
-            for lo, hi in chunks(offsets, 1 << 22):
+            for lo, hi in chunks(offsets, EMITTED_BYTES):
                 part = batch.slice(lo, hi - lo)
                 column = part.column(text)
                 flat, ends = encode_column(column, encoder)
