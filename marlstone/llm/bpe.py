@@ -367,7 +367,7 @@ class StreamDecoder:
     def __init__(self, bytes_of: dict[int, bytes], moves: dict | None = None):
         self.bytes_of = bytes_of
         self.moves = {} if moves is None else moves
-        self.state, self.held = 0, b""
+        self.state, self.held, self.good = 0, b"", True
 
     def _move(self, state: int, token: int) -> tuple[int, int, int, bool]:
         """Over a token from a state: the new state, bytes up to the last complete character, whether all is well formed."""
@@ -390,7 +390,7 @@ class StreamDecoder:
     def feed(self, tokens: Iterable[int]) -> str:
         """The characters completed by these tokens."""
         parts, moves, state, bytes_of = [], self.moves, self.state, self.bytes_of
-        good, done, size = True, 0, len(self.held)
+        good, done, size = self.good, 0, len(self.held)
         for token in tokens:
             key = (token << 3) | state
             move = moves.get(key)
@@ -405,10 +405,11 @@ class StreamDecoder:
         self.state = state
         raw = self.held + b"".join(parts)
         self.held = raw[done:]
+        self.good = good or not self.held
         return raw[:done].decode("utf-8", "strict" if good else "replace")
 
     def end(self) -> str:
-        out, self.state, self.held = self.held.decode("utf-8", "replace"), 0, b""
+        out, self.state, self.held, self.good = self.held.decode("utf-8", "replace"), 0, b"", True
         return out
 
 
