@@ -10,9 +10,9 @@ def numstat(spark: SparkSession, path: str) -> DataFrame:
     """(sha, added, deleted, path) of an exported history: lines `COMMIT <sha>` and then `added TAB deleted TAB path`.
 
     Each file is read whole, since a row belongs to the commit line before it; `-` is a binary file, with NULL lines."""
-    text = spark.read.option("wholetext", True).text(path)
-    blocks = text.select(F.explode(F.expr(r"split(value, '(^|\n)COMMIT ')")).alias("b")).where("trim(b) <> ''")
-    rows = blocks.select(F.trim(F.substring_index("b", "\n", 1)).alias("sha"), F.explode(F.slice(F.split("b", "\n"), 2, 1 << 30)).alias("line")).where(F.col("line").contains("\t"))
+    text = spark.read.text(path, wholetext=True)
+    blocks = text.select(F.explode(F.split("value", r"(?:^|\n)COMMIT ")).alias("b")).where("trim(b) <> ''")
+    rows = blocks.select(F.trim(F.substring_index("b", "\n", 1)).alias("sha"), F.explode(F.split("b", "\n")).alias("line")).where(F.col("line").contains("\t"))
     part = F.split("line", "\t", 3)
     return rows.select("sha", part[0].try_cast("long").alias("added"), part[1].try_cast("long").alias("deleted"), part[2].alias("path"))
 
@@ -39,7 +39,7 @@ def panel_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 def lcov(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, hits) of an lcov trace."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     records = text.select(F.explode(F.split("value", "end_of_record")).alias("r"))
     rows = records.select(F.regexp_extract("r", r"SF:([^\n]+)", 1).alias("file"), F.explode(F.regexp_extract_all("r", F.lit(r"DA:(\d+,\d+)"), 1)).alias("d"))
     return rows.select("file", F.split("d", ",")[0].cast("long").alias("line"), F.split("d", ",")[1].cast("long").alias("hits"))
