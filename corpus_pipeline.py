@@ -15,7 +15,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents have, or a document repeats, go from the texts."""
+    """Lines that many documents have go but for one occurrence in the corpus; those that a document repeats but for the first in it."""
     return linededup.line_dedup(docs)
 
 

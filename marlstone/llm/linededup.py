@@ -8,10 +8,15 @@
 3. Documents probe the arrays: a task sorts its own keys by shard, opens one shard after another, and
    never holds more than one.  No line is joined or shuffled with its document.
 
-A line goes when at least `least_docs` documents have it, or when it is the second or later one of its
-kind in its document; blank lines stay.  But a document that would lose more than `most_loss` of its
-bytes stays whole: it is mostly made of lines that other documents have, thus a copy, of which near-dedup
-keeps one, while dropping lines from every copy would lose the text itself.
+`line_dedup`, the stage of the pipeline: a line that is the second or later one of its kind in its document
+goes, and so does one that at least `least_docs` documents have, but for one occurrence in the corpus: the
+first in the document of the least doc_id (a null one is the greatest; one row, any, of those that share it).
+The index holds that document's place too, for which the rows are written once with their places, and a
+shard has about 12.5 bytes a line.  Blank lines stay.  No document is exempt.
+
+`line_report`, which is held to its SQL: a line goes when at least `least_docs` documents have it, from all of
+them, or when it is the second or later one of its kind in its document; but a document that would lose more
+than `most_loss` of its bytes stays whole.
 
 Defined results: a null text stays null, an empty one empty, with no lines dropped; a row without doc_id
 is treated like any other row, as a document of its own; repeated rows are documents of their own; lines
@@ -29,7 +34,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import saved, scratch_path
+from marlstone.llm.common import fresh, saved, scratch_path
 from marlstone.llm.textvec import _powers, chunks, mix64, utf8
 
 LEAST_DOCS = 4
@@ -47,8 +52,8 @@ class PerfectHash:
 
     Levels of one bit per cell, `gamma` cells for every key left; the rank of a key's bit is its index."""
 
-    def __init__(self, sizes: np.ndarray, words: np.ndarray, prints: np.ndarray, counts: np.ndarray):
-        self.sizes, self.words, self.prints, self.counts = sizes, words, prints, counts
+    def __init__(self, sizes: np.ndarray, words: np.ndarray, places: np.ndarray, prints: np.ndarray, counts: np.ndarray):
+        self.sizes, self.words, self.places, self.prints, self.counts = sizes, words, places, prints, counts
         self.starts = np.concatenate([[0], np.cumsum(sizes)])
         self.ranks = np.concatenate([[0], np.cumsum(np.bitwise_count(words).astype(np.int64))])
 
@@ -63,7 +68,7 @@ class PerfectHash:
         return (keys & np.uint64(0xFFFF)).astype(np.uint16)
 
     @classmethod
-    def build(cls, keys: np.ndarray, counts: np.ndarray, gamma: float = GAMMA) -> PerfectHash:
+    def build(cls, keys: np.ndarray, counts: np.ndarray, places: np.ndarray | None = None, gamma: float = GAMMA) -> PerfectHash:
         sizes, bits, left, level = [], [], np.arange(len(keys)), 0
         while len(left):
             size = -(-max(64, int(gamma * len(left))) // 64) * 64
@@ -75,10 +80,12 @@ class PerfectHash:
             level += 1
         cells = np.concatenate(bits) if bits else np.zeros(0, bool)
         words = np.packbits(cells, bitorder="little").view(np.uint64) if len(cells) else np.zeros(0, np.uint64)
-        made = cls(np.array(sizes, np.int64), words, np.zeros(len(keys), np.uint16), np.zeros(len(keys), np.uint16))
+        made = cls(np.array(sizes, np.int64), words, np.zeros(0 if places is None else len(keys), np.int64), np.zeros(len(keys), np.uint16), np.zeros(len(keys), np.uint16))
         at = made.index(keys)
         made.prints[at] = cls._print(keys)
         made.counts[at] = np.minimum(counts, 65535).astype(np.uint16)
+        if places is not None:
+            made.places[at] = places
         return made
 
     def index(self, keys: np.ndarray) -> np.ndarray:
@@ -98,22 +105,28 @@ class PerfectHash:
 
     def count(self, keys: np.ndarray) -> np.ndarray:
         """The count of each key; 0 where the fingerprint says that it is another."""
+        return self.found(keys)[0]
+
+    def found(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The count of each key, and its place: -1 where the count is 0 or the index has no places."""
         at = self.index(keys)
         known = at >= 0
         known[known] = self.prints[at[known]] == self._print(keys[known])
-        out = np.zeros(len(keys), np.int64)
+        out, places = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
         out[known] = self.counts[at[known]]
-        return out
+        if len(self.places):
+            places[known] = self.places[at[known]]
+        return out, places
 
     def dump(self) -> bytes:
-        head = np.array([len(self.sizes), len(self.words), len(self.prints)], np.int64)
-        return b"".join(x.tobytes() for x in (head, self.sizes, self.words, self.prints, self.counts))
+        head = np.array([len(self.sizes), len(self.words), len(self.places), len(self.prints)], np.int64)
+        return b"".join(x.tobytes() for x in (head, self.sizes, self.words, self.places, self.prints, self.counts))
 
     @classmethod
     def load(cls, raw: bytes) -> PerfectHash:
-        levels, words, keys = (int(x) for x in np.frombuffer(raw, np.int64, 3))
-        at, parts = 24, []
-        for n, kind in ((levels, np.int64), (words, np.uint64), (keys, np.uint16), (keys, np.uint16)):
+        levels, words, places, keys = (int(x) for x in np.frombuffer(raw, np.int64, 4))
+        at, parts = 32, []
+        for n, kind in ((levels, np.int64), (words, np.uint64), (places, np.int64), (keys, np.uint16), (keys, np.uint16)):
             parts.append(np.frombuffer(raw, kind, n, at))
             at += n * np.dtype(kind).itemsize
         return cls(*parts)
@@ -148,23 +161,39 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, keys, row
 
 
+def _held(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, rows): the distinct lines of each row, without blank ones."""
+    data, offsets = utf8(column)
+    found, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for lo, hi in chunks(offsets):
+        _, _, keys, row = lines_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        order = np.lexsort((keys, row))
+        keys, row = keys[order], row[order]
+        new = keys != 0
+        new[1:] &= (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
+        found.append(keys[new])
+        rows.append(row[new] + lo)
+    return np.concatenate(found), np.concatenate(rows)
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, docs): the documents of the batch that have each line."""
     for batch in batches:
-        data, offsets = utf8(batch.column("text"))
-        found = []
-        for lo, hi in chunks(offsets):
-            _, _, keys, row = lines_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            order = np.lexsort((keys, row))
-            keys, row = keys[order], row[order]
-            new = np.ones(len(keys), bool)
-            new[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
-            found.append(keys[new])
-        keys, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-        keys, counts = keys[keys != 0], counts[keys != 0]
+        keys, counts = np.unique(_held(batch.column("text"))[0], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "docs"])
 
 
+def _first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, docs, doc, place): the same, with the least doc_id among them and the place of its row."""
+    for batch in batches:
+        keys, row = _held(batch.column("text"))
+        doc, place = batch.column("doc").to_numpy()[row], batch.column("place").to_numpy()[row]
+        order = np.lexsort((place, doc, keys))
+        keys, first, counts = np.unique(keys[order], return_index=True, return_counts=True)
+        mine = order[first]
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64)), pa.array(doc[mine]), pa.array(place[mine])], names=["key", "docs", "doc", "place"])
+
+
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
@@ -174,8 +203,8 @@ def _place(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def _builder(path: str, shards: int):
-    def write(shard: int, keys: list, counts: list) -> int:
-        made = PerfectHash.build(np.concatenate(keys), np.concatenate(counts))
+    def write(shard: int, keys: list, counts: list, places: list) -> int:
+        made = PerfectHash.build(np.concatenate(keys), np.concatenate(counts), np.concatenate(places) if places else None)
         where, base = _place(path)
         where.create_dir(base, recursive=True)
         token = np.random.default_rng().integers(1 << 62)
@@ -185,19 +214,21 @@ def _builder(path: str, shards: int):
         return len(made.prints)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, keys, counts, done = -1, [], [], []
+        current, keys, counts, places, done = -1, [], [], [], []
         for batch in batches:
             key = batch.column("key").to_numpy().view(np.uint64)
             count, shard = batch.column("docs").to_numpy(), batch.column("shard").to_numpy()
             for s in np.unique(shard):
                 if s != current and keys:
-                    done.append((current, write(current, keys, counts)))
-                    keys, counts = [], []
+                    done.append((current, write(current, keys, counts, places)))
+                    keys, counts, places = [], [], []
                 current = int(s)
                 keys.append(key[shard == s])
                 counts.append(count[shard == s])
+                if "place" in batch.schema.names:
+                    places.append(batch.column("place").to_numpy()[shard == s])
         if keys:
-            done.append((current, write(current, keys, counts)))
+            done.append((current, write(current, keys, counts, places)))
         yield pa.RecordBatch.from_pydict({"shard": pa.array([s for s, _ in done], pa.int64()), "n": pa.array([n for _, n in done], pa.int64())})
 
     return run
@@ -209,11 +240,11 @@ class LineIndex:
     def __init__(self, path: str, shards: int, sizes: dict[int, int]):
         self.path, self.shards, self.sizes = path, shards, sizes
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of any keys, one shard in memory at a time."""
-        out = np.zeros(len(keys), np.int64)
+    def found(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and places of any keys, one shard in memory at a time."""
+        out, places = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
         if not len(keys):
-            return out
+            return out, places
         where, base = _place(self.path)
         shard = _shard(keys, self.shards)
         order = np.argsort(shard, kind="stable")
@@ -223,15 +254,23 @@ class LineIndex:
                 with where.open_input_file(f"{base}/{s}") as f:
                     index = PerfectHash.load(f.readall())
                 mine = order[edges[s] : edges[s + 1]]
-                out[mine] = index.count(keys[mine])
-        return out
+                out[mine], places[mine] = index.found(keys[mine])
+        return out, places
+
 
+def build_index(docs: DataFrame, keys_per_shard: int = KEYS_PER_SHARD, place: str | None = None) -> LineIndex:
+    """Counts all lines of all documents and writes the index; only shard sizes come to the driver.
 
-def build_index(docs: DataFrame, keys_per_shard: int = KEYS_PER_SHARD) -> LineIndex:
-    """Counts all lines of all documents and writes the index; only shard sizes come to the driver."""
+    With `place`, a column of distinct numbers, the index has that of each line's document of the least doc_id."""
     spark = docs.sparkSession
-    partial = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_keys, "key long, docs long")
-    counted, _ = saved(partial.groupBy("key").agg(F.sum("docs").alias("docs")), "line-counts")
+    text = F.col("text").cast("string").alias("text")
+    if place is None:
+        counts = docs.select(text).mapInArrow(_keys, "key long, docs long").groupBy("key").agg(F.sum("docs").alias("docs"))
+    else:
+        doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc")
+        partial = docs.select(text, doc, F.col(place).alias("place")).mapInArrow(_first_keys, "key long, docs long, doc long, place long")
+        counts = partial.groupBy("key").agg(F.sum("docs").alias("docs"), F.min_by("place", "doc").alias("place"))
+    counted, _ = saved(counts, "line-counts")
     shards = max(1, -(-counted.count() // keys_per_shard))
     path = scratch_path(spark, "line-index")
     high = F.shiftrightunsigned("key", 32)
@@ -264,8 +303,8 @@ def _without(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.n
     return data[kept].tobytes(), np.diff(total[offsets])
 
 
-def _prober(index: LineIndex, least_docs: int, most_loss: float, report: bool):
-    def clean(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def _prober(index: LineIndex, least_docs: int, most_loss: float | None, report: bool, place: str | None = None):
+    def clean(column: pa.Array, places: np.ndarray | None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         data, offsets = utf8(column)
         starts, ends, keys, rows = [], [], [], []
         for lo, hi in chunks(offsets):
@@ -279,15 +318,17 @@ def _prober(index: LineIndex, least_docs: int, most_loss: float, report: bool):
             return column, np.zeros(n, np.int64), np.zeros(n, np.int64)
         start, end, key, row = (np.concatenate(x) for x in (starts, ends, keys, rows))
         unique, inverse = np.unique(key, return_inverse=True)
-        drop = (index.counts(unique) >= least_docs)[inverse]
+        counts, keeper = index.found(unique)
+        drop = (counts >= least_docs)[inverse]
+        if places is not None:
+            drop &= keeper[inverse] != places[row]
         order = np.lexsort((start, key, row))
         again = np.zeros(len(key), bool)
         again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
         drop = (drop | again) & (key != 0)
-        size = end - start
-        lost = np.bincount(row, weights=size * drop, minlength=n)
-        whole = lost > most_loss * np.diff(offsets)
-        drop &= ~whole[row]
+        if most_loss is not None:
+            lost = np.bincount(row, weights=(end - start) * drop, minlength=n)
+            drop &= ~(lost > most_loss * np.diff(offsets))[row]
         lines, dropped = np.bincount(row, minlength=n), np.bincount(row, weights=drop, minlength=n).astype(np.int64)
         if not drop.any():
             return column, lines, dropped
@@ -310,7 +351,8 @@ def _prober(index: LineIndex, least_docs: int, most_loss: float, report: bool):
         def flush():
             table = pa.Table.from_batches(held).combine_chunks()
             at = table.schema.names.index("text")
-            text, lines, dropped = clean(table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string()))
+            places = table.column(place).to_numpy() if place else None
+            text, lines, dropped = clean(table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string()), places)
             if isinstance(text, pa.ChunkedArray):
                 text = text.combine_chunks()
             text = text.cast(pa.string())
@@ -318,6 +360,7 @@ def _prober(index: LineIndex, least_docs: int, most_loss: float, report: bool):
                 done = pa.table({"doc_id": table.column("doc_id"), "text": text, "lines": pa.array(lines.astype(np.int64)), "dropped": pa.array(dropped)})
             else:
                 done = table.set_column(at, pa.field("text", pa.string()), text)
+                done = done.drop_columns([place]) if place else done
             yield from done.to_batches(max_chunksize=10_000)
 
         for batch in batches:
@@ -332,11 +375,12 @@ def _prober(index: LineIndex, least_docs: int, most_loss: float, report: bool):
     return run
 
 
-def line_dedup(docs: DataFrame, least_docs: int = LEAST_DOCS, most_loss: float = MOST_LOSS, keys_per_shard: int = KEYS_PER_SHARD) -> DataFrame:
-    """`docs`, with all its columns and rows, `text` without repeated lines."""
-    index = build_index(docs, keys_per_shard)
-    typed = docs.withColumn("text", F.col("text").cast("string"))
-    return typed.mapInArrow(_prober(index, least_docs, most_loss, False), typed.schema)
+def line_dedup(docs: DataFrame, least_docs: int = LEAST_DOCS, keys_per_shard: int = KEYS_PER_SHARD) -> DataFrame:
+    """`docs`, with all its columns and rows, `text` without repeated lines: of those of many documents one occurrence stays."""
+    typed, place = docs.withColumn("text", F.col("text").cast("string")), fresh("place", docs)
+    rows, _ = saved(typed.withColumn(place, F.monotonically_increasing_id()), "line-rows")
+    index = build_index(rows, keys_per_shard, place)
+    return rows.mapInArrow(_prober(index, least_docs, None, False, place), typed.schema)
 
 
 def line_report(docs: DataFrame, least_docs: int = LEAST_DOCS, most_loss: float = MOST_LOSS, keys_per_shard: int = KEYS_PER_SHARD) -> DataFrame:

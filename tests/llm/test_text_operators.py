@@ -133,6 +133,37 @@ def test_line_dedup_is_its_sql(spark):
     assert linededup.line_dedup(frame(spark, rows).limit(0)).collect() == []
 
 
+def test_of_repeated_lines_one_stays_in_the_corpus(spark):
+    rng = random.Random(16)
+    lines = [prose(rng, 4) for _ in range(50)] + ["", "  ", "menu", " menu"]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 9))), "s") for i in range(140)]
+    rows += [(300, "again\n" * 9 + "once", "s"), (301, None, "s"), (302, "", "s"), (None, "menu\nno other has this", "s"), (303, "no\nother", "s")]
+    rows += [(i, "a copy of\na page that\nfour have", "s") for i in (407, 405, 406, 408)] + [(7, rows[7][1], "s")]
+    rng.shuffle(rows)
+    by = {}
+    for d, text, _ in rows:
+        for k in {x.strip() for x in (text or "").split("\n")} - {""}:
+            by.setdefault(k, []).append(2**63 if d is None else d)
+    want = []
+    for d, text, _ in rows:
+        seen, kept = set(), []
+        for line in (text or "").split("\n"):
+            k = line.strip()
+            many = k and len(by[k]) >= linededup.LEAST_DOCS and (2**63 if d is None else d) != min(by[k])
+            if k in seen or many:
+                continue
+            kept.append(line)
+            seen |= {k} - {""}
+        want.append((d, None if text is None else "\n".join(kept)))
+    found = [(r.doc_id, r.text) for r in linededup.line_dedup(frame(spark, rows).repartition(3), keys_per_shard=60).collect()]
+    once = lambda pairs: sorted(map(str, (p for p in pairs if p[0] != 7)))
+    assert once(found) == once(want)
+    sevens = [t.split("\n") for d, t in found if d == 7]  # two rows have this doc_id: one of them holds what both would keep
+    assert len(sevens) == 2
+    left = [x.strip() for _, t in found for x in (t or "").split("\n") if x.strip()]
+    assert set(left) == set(by) and all(left.count(k) == 1 for k in by if len(by[k]) >= linededup.LEAST_DOCS)
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(0).integers(1, 1 << 63, 20_000, dtype=np.uint64))
     made = linededup.PerfectHash.load(linededup.PerfectHash.build(keys, np.arange(len(keys))).dump())
