@@ -6,11 +6,12 @@ its share of their counts, so that the model gives every id a probability.  Slot
 form `classes` classes: the model predicts the class and then the slot in it.
 
 The model is one layer: embeddings of slot and place, one masked attention head, a residual, two softmaxes.
-It is trained data-parallel on `fraction` of all windows of the corpus, chosen by a hash of their ids and
-shuffled into shards of about SHARD_WINDOWS, in the order of that hash.  In each of `rounds` rounds every
-shard of the round's windows trains from the same parameters; these are averaged, weighted by tokens, block
-by block in a shuffle, and the next round starts from the average.  So what is gathered grows with the
-corpus, in windows and in shards, and the driver gets one set of parameters a round.
+It is trained data-parallel on all windows of the corpus (`fraction` of them), shuffled by a hash of their ids
+into shards of about SHARD_WINDOWS, in the order of that hash.  In each round every shard of the round's
+windows trains from the same parameters; these are averaged, weighted by tokens, block by block in a shuffle,
+and the next round starts from the average.  The rounds are at least `rounds` and as many as the shards of
+each: both grow with the square root of the corpus, so that more text makes more steps one after another.
+The driver gets one set of parameters a round.
 
 Scoring runs over windows of `window` ids that overlap: each scores its last `stride` ids, with those before
 as context, so that every id is scored exactly once, many windows in one batch.  Long texts are scored a
@@ -23,6 +24,7 @@ gives an empty one; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,12 +43,13 @@ CLASSES = 32
 IN_CLASS = 64
 WINDOW = 48
 STRIDE = 32
-FRACTION = 1 / 32
+FRACTION = 1.0
 ROUNDS = 3
 RATE = 0.01
 STEP_WINDOWS = 32
 BATCH_WINDOWS = 256
 SHARD_WINDOWS = 1 << 14
+SAMPLE_WINDOWS = 1 << 13
 BLOCK = 4096
 NONE = 0xFFFF
 
@@ -249,6 +252,21 @@ def _filled(shape: Shape, slots: np.ndarray, at: np.ndarray, row: np.ndarray, fi
     return inputs, np.where(targets < end, slots[np.minimum(targets, len(slots) - 1)], NONE)
 
 
+def rounds_for(windows: float, least: int = ROUNDS) -> int:
+    """The number of rounds for so many windows."""
+    return max(least, math.isqrt(int(windows) // SHARD_WINDOWS))
+
+
+def packed(shape: Shape, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Windows as the inputs up to the first scored place and the targets, which are the inputs after it."""
+    return np.concatenate([inputs[:, : shape.window - shape.stride + 1], targets], axis=1).astype(np.uint16)
+
+
+def unpacked(shape: Shape, windows: np.ndarray) -> np.ndarray:
+    """(n, window + stride) of packed windows.  The input after a text's last id is that id, where nothing is scored."""
+    return np.concatenate([windows[:, : shape.window], windows[:, shape.window - shape.stride + 1 :]], axis=1)
+
+
 def _sampled(shape: Shape, fraction: float, rounds: int):
     limit = np.uint64(min(int(fraction * 2**64), 2**64 - 1))
 
@@ -262,14 +280,13 @@ def _sampled(shape: Shape, fraction: float, rounds: int):
             of_row = np.zeros(len(at) - 1, np.uint64)
             of_row[np.diff(at) > 0] = salt
             hashes = mix64(of_row[row] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            chosen = np.flatnonzero(hashes < limit)
-            if not len(chosen):
-                continue
-            inputs, targets = _filled(shape, shape.slot_of[ids], at, row[chosen], first[chosen])
-            raw = np.concatenate([inputs, targets], axis=1).astype(np.uint16)
-            turn = (mix64(hashes[chosen]) % np.uint64(rounds)).astype(np.int32)
-            place = pa.array(hashes[chosen].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(turn), place, pa.array([r.tobytes() for r in raw], pa.binary())], names=["turn", "place", "ids"])
+            slots, every = shape.slot_of[ids], np.flatnonzero(hashes <= limit)
+            for lo in range(0, len(every), SAMPLE_WINDOWS):
+                chosen = every[lo : lo + SAMPLE_WINDOWS]
+                raw = packed(shape, *_filled(shape, slots, at, row[chosen], first[chosen]))
+                turn = (mix64(hashes[chosen]) % np.uint64(rounds)).astype(np.int32)
+                place = pa.array(hashes[chosen].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(turn), place, pa.array([r.tobytes() for r in raw], pa.binary())], names=["turn", "place", "ids"])
 
     return run
 
@@ -279,7 +296,7 @@ def _trainer(shape: Shape, vector: np.ndarray, rate: float):
         raw = b"".join(w.as_py() for batch in batches for w in batch.column("ids"))
         if not raw:
             return
-        windows = np.frombuffer(raw, np.uint16).reshape(-1, shape.window + shape.stride)
+        windows = unpacked(shape, np.frombuffer(raw, np.uint16).reshape(-1, shape.window + 1))
         weight = float((windows[:, shape.window :] != NONE).sum())
         after = trained(shape, vector, windows, rate)
         blocks = [(after[i : i + BLOCK].astype(np.float64) * weight).astype(np.float32).tobytes() for i in range(0, len(after), BLOCK)]
@@ -301,15 +318,18 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(ids: DataFrame, shape: Shape, fraction: float = FRACTION, rounds: int = ROUNDS, rate: float = RATE) -> np.ndarray:
-    """The parameters, trained on `fraction` of all windows of the packed ids."""
+    """The parameters, trained on `fraction` of all windows of the packed ids, in `rounds` rounds at least."""
     vector = shape.start()
-    sample, _ = saved(ids.mapInArrow(_sampled(shape, fraction, rounds), "turn int, place long, ids binary"), "lm-windows")
+    tokens = shape.slot_counts.sum() - len(shape.slot_counts)
+    rounds = rounds_for(fraction * tokens / shape.stride, rounds)
+    windows = ids.mapInArrow(_sampled(shape, fraction, rounds), "turn int, place long, ids binary")
+    sample, _ = saved(windows.sortWithinPartitions("turn"), "lm-windows")  # so that a round reads only its pages
     sizes = {r["turn"]: r["n"] for r in sample.groupBy("turn").agg(F.count("*").alias("n")).collect()}
     parts = max(1, min(-(-shape.total // BLOCK), int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     for turn in range(rounds):
         shards = max(1, -(-sizes.get(turn, 0) // SHARD_WINDOWS))
         mine = sample.where(F.col("turn") == turn).select("place", "ids").repartition(shards, "place").sortWithinPartitions("place", "ids")
-        local = mine.mapInArrow(_trainer(shape, vector, rate / (1 + turn)), "block long, weight double, sums binary")
+        local = mine.mapInArrow(_trainer(shape, vector, rate / math.sqrt(1 + turn)), "block long, weight double, sums binary")
         means = local.repartition(parts, "block").mapInArrow(_averaged, "block long, means binary").collect()
         if means:
             vector = np.frombuffer(b"".join(bytes(r["means"]) for r in sorted(means, key=lambda r: r["block"])), np.float32)

@@ -4,6 +4,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from marlstone.llm import lattice, lm, warc
@@ -67,6 +68,22 @@ def test_held_out_text_is_likelier_than_by_frequency():
     assert lm.losses(shape, shape.parts(vector), flat, at)[half:].sum() < 0.8 * before
 
 
+def test_every_window_is_trained_on_and_rounds_grow():
+    ids = [np.array(lm.coder().encode_ordinary(t), np.uint32) for t in corpus(80)]
+    flat, at = np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+    shape = lm.Shape(dict(enumerate(np.bincount(flat))), lm.coder().n_vocab, classes=8, in_class=8)
+    row, first, _ = lm.cut(shape, at)
+    inputs, targets = lm._filled(shape, shape.slot_of[flat], at, row, first)
+    batch = pa.RecordBatch.from_pydict({"ids": pa.array([x.tobytes() for x in ids], pa.binary())})
+    made = [w for b in lm._sampled(shape, lm.FRACTION, 3)([batch]) for w in b.column("ids").to_pylist()]
+    assert len(made) == len(row)
+    whole = lm.unpacked(shape, np.frombuffer(b"".join(made), np.uint16).reshape(len(row), -1)).astype(np.int64)
+    assert (whole[:, shape.window :] == targets).all()
+    p = shape.parts(shape.start() * 3)
+    assert np.allclose(lm.run_model(shape, p, whole[:, : shape.window], whole[:, shape.window :]), lm.run_model(shape, p, inputs, targets), atol=1e-5)
+    assert lm.rounds_for(1000) == lm.ROUNDS and lm.rounds_for(400 * lm.SHARD_WINDOWS) == 20
+
+
 def test_scores_of_odd_rows(spark):
     rows = [(1, "some words here"), (1, "some words here"), (None, "x"), (2, None), (3, ""), (4, "long " * 20_000)]
     docs = spark.createDataFrame([(d, t, "clash", 1) for d, t in rows], TEXT)
