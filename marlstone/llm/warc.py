@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import remove, saved, scratch_path
 
 SPLIT_BYTES = 64 << 20
-HEADER_BYTES = 1 << 16
 MOST_TASKS = 100_000
 _PLAIN, _PACKED = re.compile(rb"WARC/1\.[01]\r\n"), re.compile(rb"\x1f\x8b\x08")
 _END = b"\r\n\r\n"
@@ -126,7 +125,7 @@ def _plain(r: Range, at: int, whole: bool) -> tuple[int, bytes] | None:
     size = 1024
     while True:
         raw = r.bytes(at, at + size)
-        if _END in raw or len(raw) < size or size >= HEADER_BYTES:
+        if _END in raw or len(raw) < size or not _PLAIN.match(raw):
             break
         size *= 4
     found = _header(raw)
@@ -140,7 +139,7 @@ def _plain(r: Range, at: int, whole: bool) -> tuple[int, bytes] | None:
 
 def _member(r: Range, at: int, whole: bool) -> tuple[int, bytes] | None:
     """The same in a compressed file: the member must unpack to exactly one record."""
-    unpack, parts, place, step, n, head = zlib.decompressobj(31), [], at, 1 << 13, 0, b""
+    unpack, parts, place, step, n, head, ended = zlib.decompressobj(31), [], at, 1 << 13, 0, bytearray(), False
     try:
         while not unpack.eof:
             raw = r.bytes(place, place + step)
@@ -149,10 +148,12 @@ def _member(r: Range, at: int, whole: bool) -> tuple[int, bytes] | None:
             out = unpack.decompress(raw)
             place += len(raw)
             n += len(out)
-            if len(head) < HEADER_BYTES:
-                head += out[:HEADER_BYTES]
+            if not ended:
+                seen = max(0, len(head) - 3)
+                head += out
                 if len(head) >= 10 and not _PLAIN.match(head):
                     return None
+                ended = head.find(_END, seen) >= 0
             if whole:
                 parts.append(out)
             step = min(step * 2, 1 << 20)

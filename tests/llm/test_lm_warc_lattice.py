@@ -114,6 +114,13 @@ def test_pages_come_back_and_records_in_payloads_dont(spark, compress, split):
     assert sorted(found, key=str) == sorted(rows, key=str)
 
 
+@pytest.mark.parametrize(("compress", "split"), [(False, 900), (False, 1 << 26), (True, 900), (True, 1 << 26)])
+def test_a_long_url_breaks_no_chain(spark, compress, split):
+    rows = [(1, "a", "x"), (2, "http://a/" + "é%ж" * 30_000, "y"), (3, "b", FAKE), (4, "c" * 250_000, None), (5, "d", "z")]
+    frame = spark.createDataFrame([(*r, "clash", 0) for r in rows], PAGES).coalesce(1)
+    assert sorted(tuple(r) for r in warc.round_trip(frame, split, compress).collect()) == rows
+
+
 def test_chains_that_break(spark, tmp_path):
     whole = b"".join(warc.record([("WARC-Type", "x"), ("N", str(i))], b"b" * i) for i in range(6))
     (tmp_path / "cut.warc").write_bytes(whole[:-20])
