@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.textvec import chunks, shingle_hashes, utf8, word_hashes
 
 SHINGLE_WORDS = 5
-FRACTION = 1 / 32
+FRACTION = 1 / 2
 SCHEMA = "doc_id long, n_shingles long, sketch array<long>"
 
 

@@ -198,3 +198,13 @@ def test_fingerprints(spark):
     union = fingerprints.merged(sketches.where("doc_id IN (1, 3)").selectExpr("'g' AS g", "sketch"), "g").first()
     assert set(union.sketch) == set(made[0].sketch) | set(made[2].sketch)
     assert fingerprints.fingerprints(frame(spark, rows).limit(0)).collect() == []
+
+
+def test_short_documents_have_a_sketch_of_the_fraction_in_use(spark):
+    rng = random.Random(19)
+    words = prose(rng, 3000).split()
+    short = [(i, " ".join(words[i * 40 : i * 40 + 20])) for i in range(60)]
+    sketches = fingerprints.fingerprints(frame(spark, [*short, (100, " ".join(words))])).cache()
+    assert sketches.where("size(sketch) = 0").count() == 0
+    found = fingerprints.containment(sketches.where("doc_id < 100"), sketches.where("doc_id = 100")).collect()
+    assert {r.a for r in found if r.containment == 1.0} == set(range(60))
