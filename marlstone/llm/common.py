@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +62,25 @@ def saved(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def release() -> None:
+    """Gives memory that a worker no longer uses back to the machine: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that releases memory when its task ends."""
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """Just (doc_id BIGINT, text STRING) of a table that may have any other columns; rows without an id or a text go."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -91,5 +114,5 @@ def components(edges: DataFrame) -> DataFrame:
         remove(spark, path)
         near, path = after, new
         if now == before:
-            return near.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return near.select(F.col("a").alias("node"), F.col("b").alias("root")).union(near.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         before = now

@@ -12,12 +12,16 @@ collide, found as in the merging of inverted lists for the T-occurrence problem:
 * skip: the longest lists, T - 1 of each document, are never merged.  They are probed, by comparing the
   signatures of the documents that met in a prefix list.
 
-Within a list, documents already connected by verified pairs are not compared again, so a list of n
-copies of one text takes about n comparisons, not n squared, and the groups are those of all pairs.
-
-Defined results: a text that is null, empty or without words, or a row without doc_id, is in no group;
-a text of fewer than `shingle` words has one shingle; rows that repeat a doc_id are one document, in a
-group by any of its texts; of a group the least doc_id is kept; other columns are ignored.
+Lists are merged in blocks, so that no list is one task's, and within them documents already connected are
+not compared again (see links): a list of n copies of one text takes about n comparisons, and the classes
+are those of all pairs.
+
+Defined results: a text that is null, empty or without words, or a row without doc_id, is in no class;
+a text of fewer than `shingle` words has one shingle; a text of any length counts whole, by all its
+shingles; exactly `threshold` collisions (a tie) are a link; rows that repeat a doc_id are one document, in
+a class by any of its texts, and a doc_id alone in its class has no row however often it is repeated; of a
+class the least doc_id is kept; an empty table gives an empty one; other columns are ignored, whatever
+their names, and kept by `deduplicated`.
 """
 
 from __future__ import annotations
@@ -26,16 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import components, saved, texts
+from marlstone.llm.common import components, fresh, saved, texts, tidied
+from marlstone.llm.links import link_counts, links
 from marlstone.llm.textvec import chunks, mix64, shingle_hashes, utf8, word_hashes
 
 SHINGLE_WORDS = 3
 COORDINATES = 64
 THRESHOLD = 30
-ALL_PAIRS = 24
 
 
 def factors(coordinates: int) -> np.ndarray:
@@ -73,117 +77,80 @@ def _signed(shingle: int, coordinates: int):
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * coordinates), flat)
             yield pa.RecordBatch.from_arrays([ids, lists], names=["doc_id", "sig"])
 
-    return run
-
-
-def _forest(ids: np.ndarray, sig: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Verified pairs that connect a list's documents just as all its pairs would."""
-    group = np.arange(len(ids))
-    open_rows = np.arange(len(ids))
-    while len(open_rows) > 1:
-        one, rest = open_rows[0], open_rows[1:]
-        rest = rest[group[rest] != group[one]]
-        if len(rest):
-            hits = (sig[rest] == sig[one]).sum(axis=1)
-            match = hits >= threshold
-            if match.any():
-                found = rest[match]
-                yield np.full(len(found), ids[one]), ids[found], hits[match]
-                group[np.isin(group, group[found])] = group[one]
-        open_rows = open_rows[1:]
-        if len(open_rows) and (group[open_rows] == group[open_rows[0]]).all():
-            return
-
-
-def _verified(coordinates: int, threshold: int):
-    def pairs_of(ids: np.ndarray, sig: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
-        for size in np.unique(sizes):
-            at = starts[sizes == size]
-            if size < 2:
-                continue
-            if size > ALL_PAIRS:
-                for s in at:
-                    yield from _forest(ids[s : s + size], sig[s : s + size], threshold)
-                continue
-            i, j = np.triu_indices(size, 1)
-            for part in range(0, len(at), max(1, 200_000 // len(i))):
-                s = at[part : part + max(1, 200_000 // len(i))]
-                a, b = (s[:, None] + i).reshape(-1), (s[:, None] + j).reshape(-1)
-                hits = (sig[a] == sig[b]).sum(axis=1)
-                match = hits >= threshold
-                yield ids[a[match]], ids[b[match]], hits[match]
-
-    def frame(found) -> pa.RecordBatch:
-        a, b, hits = (np.concatenate(x) for x in zip(*found, strict=True))
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        _, first = np.unique(np.stack([low, high], axis=1), axis=0, return_index=True)
-        return pa.RecordBatch.from_arrays([pa.array(low[first]), pa.array(high[first]), pa.array(hits[first].astype(np.int32))], names=["a", "b", "matches"])
+    return tidied(run)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = ids = np.zeros(0, np.int64)
-        sig = np.zeros((0, coordinates), np.uint16)
-        for batch in batches:
-            raw, _ = utf8(batch.column("sig").cast(pa.large_binary()).view(pa.large_string()))
-            keys = np.concatenate([keys, batch.column("key").to_numpy()])
-            ids = np.concatenate([ids, batch.column("doc").to_numpy()])
-            sig = np.concatenate([sig, np.frombuffer(raw.tobytes(), np.uint16).reshape(-1, coordinates)])
-            edge = np.flatnonzero(np.diff(keys)) + 1
-            if len(edge) == 0:
-                continue
-            starts = np.concatenate([[0], edge[:-1]])
-            found = [x for x in pairs_of(ids, sig, starts, edge - starts) if len(x[0])]
-            if found:
-                yield frame(found)
-            keys, ids, sig = keys[edge[-1] :], ids[edge[-1] :], sig[edge[-1] :]
-        found = [x for x in pairs_of(ids, sig, np.array([0]), np.array([len(ids)])) if len(x[0])] if len(ids) else []
-        if found:
-            yield frame(found)
-
-    return run
-
-
-def near_pairs(docs: DataFrame, shingle: int = SHINGLE_WORDS, coordinates: int = COORDINATES, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(same, pairs): `same` has (doc, rep) of every document and the least id of its signature; `pairs` has (a, b, matches)
-    of representatives, verified pairs that connect all that collide in `threshold` coordinates."""
+
+class Matches:
+    """Signatures that agree in at least `threshold` whole coordinates."""
+
+    def __init__(self, threshold: int):
+        self.threshold = threshold
+
+    def rows(self, raw: np.ndarray) -> np.ndarray:
+        return raw.view(np.uint32)
+
+    def pairs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (x == y).sum(axis=-1) >= self.threshold
+
+    def matrix(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        hits = np.zeros((len(x), len(y)), np.uint16)
+        for k in range(x.shape[1]):
+            hits += x[:, k : k + 1] == y[:, k]
+        return hits >= self.threshold
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of whole signatures."""
+    for batch in batches:
+        flat = np.ascontiguousarray(batch.column("sig").flatten().to_numpy(zero_copy_only=False))
+        each = flat.nbytes // max(1, batch.num_rows)
+        ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * each)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, ends.buffers()[1], pa.py_buffer(flat.tobytes())])], names=["node", "data"])
+
+
+def _joined(docs: DataFrame, shingle: int, coordinates: int, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(signed, reps, data, roots): documents with their signatures' hashes; of every signature the least document `node` and
+    the number of its documents; the signatures of nodes; and the root of every node that is linked to another."""
     if not 1 <= threshold <= coordinates:
         raise ValueError("threshold is from 1 to coordinates")
     signed = texts(docs).mapInArrow(_signed(shingle, coordinates), "doc_id long, sig array<int>")
     signed = signed.select(F.col("doc_id").alias("doc"), "sig", F.xxhash64("sig").alias("h1"), F.hash("sig").alias("h2"))
     signed, _ = saved(signed, "signatures")
-    same = signed.select("doc", "h1", "h2").withColumn("rep", F.min("doc").over(Window.partitionBy("h1", "h2")))
-    reps = signed.groupBy("h1", "h2").agg(F.min_by("sig", "doc").alias("sig"), F.min("doc").alias("doc")).select("doc", "sig")
+    reps = signed.groupBy("h1", "h2").agg(F.min_by("sig", "doc").alias("sig"), F.min("doc").alias("node"), F.count("*").alias("n_copies"))
     reps, _ = saved(reps, "representatives")
-    posts = reps.select("doc", F.posexplode("sig").alias("c", "v")).select("doc", F.shiftleft(F.col("c").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"))
-    shared = posts.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    lists = shared.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("lists")).where(F.size("lists") >= threshold)
-    prefix = lists.select("doc", F.explode(F.slice("lists", F.lit(1), F.size("lists") - (threshold - 1))).alias("p")).select("doc", F.col("p.key").alias("key"))
-    packed = reps.mapInArrow(_pack, "doc long, sig binary")
-    met = prefix.join(packed, "doc")
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    met = met.select("key", "doc", "sig").repartition(parts, "key").sortWithinPartitions("key")
-    pairs = met.mapInArrow(_verified(coordinates, threshold), "a long, b long, matches int")
-    return same.select("doc", "rep"), pairs
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The low 16 bits of every coordinate: what the verification compares."""
-    for batch in batches:
-        flat = batch.column("sig").flatten().to_numpy().view(np.uint32).astype(np.uint16)
-        each = 2 * len(flat) // max(1, batch.num_rows)
-        ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * each)
-        sig = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, ends.buffers()[1], pa.py_buffer(flat.tobytes())])
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), sig], names=["doc", "sig"])
+    key = F.shiftleft(F.col("c").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    posts = reps.select("node", F.posexplode("sig").alias("c", "v")).select("node", key.alias("key"))
+    # Counted with partial sums; the join back to the postings has one row a key on this side, so a hot key's postings can be split.
+    shared = posts.join(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    lists = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("lists")).where(F.size("lists") >= threshold)
+    prefix = lists.select("node", F.explode(F.slice("lists", F.lit(1), F.size("lists") - (threshold - 1))).alias("p")).select("p.key", "node", "p.n")
+    data = reps.select("node", "sig").mapInArrow(_packed, "node long, data binary")
+    found = links(prefix, data, Matches(threshold))
+    # Rows that repeat a doc_id are one document, so its texts' groups are one.
+    several = signed.join(reps.select("h1", "h2", "node"), ["h1", "h2"]).groupBy("doc").agg(F.min("node").alias("a"), F.collect_set("node").alias("all")).where(F.size("all") > 1)
+    bridges = several.select("a", F.explode("all").alias("b"))
+    return signed, reps, data, components(found.union(bridges))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, coordinates: int = COORDINATES, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, dup_of): every document that another one of its group stands for, and that one, the least id of the group."""
-    same, pairs = near_pairs(docs, shingle, coordinates, threshold)
-    roots = components(pairs.select("a", "b"))
-    joined = same.join(roots, same.rep == roots.node, "left").select(F.col("doc").alias("doc_id"), F.coalesce("root", "rep").alias("dup_of"))
-    return joined.where("doc_id <> dup_of").groupBy("doc_id").agg(F.min("dup_of").alias("dup_of"))
-
-
-def deduplicated(docs: DataFrame, **parameters) -> DataFrame:
-    """`docs`, with all its columns, without the documents that another one stands for."""
-    drop = near_duplicates(docs, **parameters).select(F.col("doc_id").alias("_dropped"))
-    return docs.join(drop, docs["doc_id"].cast("long") == drop["_dropped"], "left_anti")
+    """(doc_id, class_id, n_links, n_copies) of every document that is in a class with another.
+
+    `class_id` is the least id of the class; `n_copies` the number of rows of the document's signature; `n_links` the
+    number of other signatures that collide with it in `threshold` coordinates.  Documents without a row are alone."""
+    signed, reps, data, roots = _joined(docs, shingle, coordinates, threshold)
+    counts = link_counts(roots, data, Matches(threshold))
+    groups = roots.join(counts, "node", "left")
+    kept = reps.select("h1", "h2", "node", "n_copies").join(groups, "node", "left").where("n_copies > 1 OR root IS NOT NULL")
+    rows = signed.select("doc", "h1", "h2").join(kept, ["h1", "h2"])
+    out = rows.groupBy(F.col("doc").alias("doc_id")).agg(F.min(F.coalesce("root", "node")).alias("class_id"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"), F.max("n_copies").alias("n_copies"), F.bool_or(F.col("root").isNotNull() | (F.col("node") != F.col("doc"))).alias("_other"), F.count("*").alias("_rows"))
+    return out.where("_other OR n_copies > _rows").drop("_other", "_rows")
+
+
+def deduplicated(docs: DataFrame, shingle: int = SHINGLE_WORDS, coordinates: int = COORDINATES, threshold: int = THRESHOLD) -> DataFrame:
+    """`docs`, with all its columns, without the documents that another one stands for: the least id of each class stays."""
+    signed, reps, _, roots = _joined(docs, shingle, coordinates, threshold)
+    kept = reps.select("h1", "h2", "node", "n_copies").join(roots, "node", "left").where("n_copies > 1 OR root IS NOT NULL")
+    own = signed.select("doc", "h1", "h2").join(kept, ["h1", "h2"]).select("doc", F.coalesce("root", "node").alias("first"))
+    name = fresh("_dropped", docs)
+    drop = own.where("doc <> first").select(F.col("doc").alias(name)).distinct()
+    return docs.join(drop, docs["doc_id"].cast("long") == drop[name], "left_anti")

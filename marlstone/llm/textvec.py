@@ -15,12 +15,15 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 18
+KEPT_POWERS = 1 << 20
 
 _WORD = np.zeros(256, dtype=bool)
 for _c in b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789":
     _WORD[_c] = True
 _WORD[128:] = True
-_LOWER = np.arange(256, dtype=np.uint64) + 1
+PLAIN = np.arange(256, dtype=np.uint64) + 1
+_LOWER = PLAIN.copy()
 for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ":
     _LOWER[_c] = _c + 33
 
@@ -31,13 +34,47 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, CHUNK_BYTES + (CHUNK_BYTES >> 2))
-        for name, base in (("up", _BASE), ("down", _BASE_INV)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+    """The first n powers of the base and of its inverse; kept for the worker's life only up to KEPT_POWERS of them."""
+    if "up" in _POWERS and len(_POWERS["up"]) >= n:
+        return _POWERS["up"][:n], _POWERS["down"][:n]
+    made = []
+    for base in (_BASE, _BASE_INV):
+        steps = np.full(max(n, KEPT_POWERS), base, dtype=np.uint64)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps))
+    if n <= KEPT_POWERS:
+        _POWERS["up"], _POWERS["down"] = made
+    return made[0][:n], made[1][:n]
+
+
+def span_hashes(data: np.ndarray, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes, not yet mixed, of ordered spans of bytes that don't overlap; `values` has a number for each byte.
+
+    Computed a bounded number of bytes at a time, so that a long text takes no more memory than a short one."""
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = int(np.searchsorted(ends, lo + BLOCK_BYTES, side="right"))
+        if j <= i:  # a span longer than a block
+            total, factor = np.uint64(0), np.uint64(1)
+            up, _ = _powers(BLOCK_BYTES + 1)
+            with np.errstate(over="ignore"):
+                for at in range(lo, int(ends[i]), BLOCK_BYTES):
+                    part = values[data[at : min(at + BLOCK_BYTES, int(ends[i]))]]
+                    total = total + (part * up[: len(part)]).sum(dtype=np.uint64) * factor
+                    factor = factor * up[BLOCK_BYTES]
+            out[i] = total
+            i += 1
+            continue
+        hi = int(ends[j - 1])
+        up, down = _powers(hi - lo + 1)
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(values[data[lo:hi]] * up[: hi - lo], out=sums[1:])
+        a = starts[i:j] - lo
+        out[i:j] = (sums[ends[i:j] - lo] - sums[a]) * down[a]
+        i = j
+    return out
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -101,10 +138,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     starts, ends, of_row = word_spans(data, offsets)
     if len(starts) == 0:
         return np.zeros(0, np.uint64), of_row
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_LOWER[data] * up[:-1], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts]), of_row
+    return mix64(span_hashes(data, _LOWER, starts, ends)), of_row
 
 
 def shingle_hashes(words: np.ndarray, of_row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -49,17 +49,31 @@ def groups_by_brute_force(rows):
         if (sig[i] == sig[j]).sum() >= minhash.THRESHOLD:
             a, b = sorted((root(some[at[i]][0]), root(some[at[j]][0])))
             parent[b] = a
-    return sorted((d, root(d)) for d in parent if root(d) != d)
+    counts = {}
+    for d in parent:
+        counts[root(d)] = counts.get(root(d), 0) + 1
+    return sorted((d, root(d)) for d in parent if counts[root(d)] > 1)
+
+
+def links_by_brute_force(rows):
+    """doc_id: the number of other signatures that collide with one of its."""
+    some = [(d, t) for d, t in rows if d is not None and t is not None]
+    at, sig = minhash.signatures(pa.array([t for _, t in some]), minhash.SHINGLE_WORDS, minhash.COORDINATES)
+    distinct = np.unique(sig, axis=0)
+    return {some[i][0]: int(((distinct == s).sum(axis=1) >= minhash.THRESHOLD).sum()) - 1 for i, s in zip(at, sig, strict=True)}
 
 
 def test_minhash_groups(spark):
     rows = near_copies()
     want = groups_by_brute_force(rows)
     assert len(want) > 30
-    assert sorted(tuple(r) for r in minhash.near_duplicates(frame(spark, rows)).collect()) == want
+    found = minhash.near_duplicates(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.class_id) for r in found) == want
+    links = links_by_brute_force(rows)
+    assert all(r.n_links == links[r.doc_id] for r in found) and max(links.values()) > 3
     kept = minhash.deduplicated(frame(spark, rows))
     assert kept.columns == ["doc_id", "text", "source", "sig", "tokens"]
-    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(d) for d, _ in rows if d not in dict(want))
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(d) for d, _ in rows if dict(want).get(d, d) == d)
     assert minhash.near_duplicates(frame(spark, rows).limit(0)).collect() == []
 
 
@@ -127,7 +141,7 @@ def test_line_dedup_is_its_sql(spark):
     rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 9))) + "\n" * rng.randint(0, 2), "s") for i in range(150)]
     rows += [(200, None, "s"), (201, "", "s"), (202, "\n\n", None), (None, "menu\nown line of this", "s"), (7, rows[7][1], "s"), (203, "\n".join(f"l{i}" for i in range(30_000)), "s")]
     want = sorted(map(str, in_duckdb(linededup.sql(), rows)))
-    assert sorted(str(tuple(r)) for r in linededup.line_report(frame(spark, rows), keys_per_shard=5000).collect()) == want
+    assert sorted(str(tuple(r)) for r in linededup.line_report(frame(spark, rows).repartition(3), keys_per_shard=5000, bundle_bytes=3000).collect()) == want
     kept = linededup.line_dedup(frame(spark, rows))
     assert kept.columns == ["doc_id", "text", "source", "sig", "tokens"] and kept.count() == len(rows)
     assert linededup.line_dedup(frame(spark, rows).limit(0)).collect() == []
@@ -155,7 +169,7 @@ def test_of_repeated_lines_one_stays_in_the_corpus(spark):
             kept.append(line)
             seen |= {k} - {""}
         want.append((d, None if text is None else "\n".join(kept)))
-    found = [(r.doc_id, r.text) for r in linededup.line_dedup(frame(spark, rows).repartition(3), keys_per_shard=60).collect()]
+    found = [(r.doc_id, r.text) for r in linededup.line_dedup(frame(spark, rows).repartition(3), keys_per_shard=60, bundle_bytes=500).collect()]
     once = lambda pairs: sorted(map(str, (p for p in pairs if p[0] != 7)))
     assert once(found) == once(want)
     sevens = [t.split("\n") for d, t in found if d == 7]  # two rows have this doc_id: one of them holds what both would keep
