@@ -5,13 +5,14 @@ is decoded to the nearest point of the lattice E8.  The points of its blocks are
 of `tables` tables.  A vector is posted in its own cells and probes these and neighbouring ones: those
 reached by the lattice's 240 shortest steps that bring a block's point nearest to the projection, `near`
 of them for each block, and the best step of all blocks at once.  Vectors met in a cell are verified by
-their cosine.  Every vector queries, all partners are kept, and cells that are met in have no cap.
-
-Defined results: vectors that are null, empty, zero, or have a null or non-finite component are in no pair;
-vectors are compared with those of their own dimension only; vectors without an id are left out; rows that
-repeat an id are one vector if they are equal, and else pair the id's vectors with others, never with
-itself; equal vectors are a pair; a pair found for several rows has its highest cosine; an empty table
-gives an empty one; other columns are ignored.
+their cosine, in blocks, and cells that are met in have no cap (see links): a cell of n near copies takes
+about n comparisons, and no pair is written but those that connect a class.
+
+Defined results: vectors that are null, empty, zero, or have a null or non-finite component are in no class;
+vectors are compared with those of their own dimension only; vectors without an id are left out; a cosine
+equal to the least one (a tie) is a link; rows that repeat an id are one vector if they are equal, and else
+join the classes of both; equal vectors are a class; vectors of any dimension count whole; an empty table
+gives an empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import saved
+from marlstone.llm.common import components, saved, tidied
+from marlstone.llm.links import link_counts, links
 from marlstone.llm.textvec import mix64
 
 COSINE = 0.95
@@ -125,37 +127,69 @@ def _normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), pa.ListArray.from_arrays(ends, pa.array(unit.reshape(-1).astype(np.float32)))], names=["id", "v"])
 
 
-def _posts(tables: int, blocks: int, near: int, scale: float, probing: bool):
+def _posts(tables: int, blocks: int, near: int, scale: float):
+    """(node, key, own): every cell that a vector probes, and whether it is its own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy()
+            ids = batch.column("node").to_numpy()
             for lo in range(0, len(ids), 4096):
                 for rows, unit in _unit(batch.column("v").slice(lo, 4096)):
                     mine = ids[lo + rows]
                     for table in range(tables):
-                        own, probes = cells(unit, table, blocks, near, scale)
-                        cell = probes if probing else own[:, None]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(mine, cell.shape[1])), pa.array(cell.reshape(-1).view(np.int64))], names=["id", "cell"])
+                        _, probes = cells(unit, table, blocks, near, scale)
+                        each = probes.shape[1]
+                        own = np.tile(np.arange(each) == 0, len(mine))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(mine, each)), pa.array(probes.reshape(-1).view(np.int64)), pa.array(own)], names=["node", "key", "own"])
+
+    return tidied(run)
+
+
+class Cosine:
+    """Unit vectors of at least that cosine."""
 
-    return run
+    def __init__(self, least: float):
+        self.least = least
 
+    def rows(self, raw: np.ndarray) -> np.ndarray:
+        return raw.view(np.float32).astype(np.float64)
 
-def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (x * y).sum(axis=-1) >= self.least
+
+    def matrix(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return x @ y.T >= self.least
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = (batch.column(c).flatten().to_numpy().astype(np.float64) for c in ("va", "vb"))
-        size = np.diff(np.asarray(batch.column("va").offsets)).astype(np.int64)
-        ends = np.cumsum(size)
-        cosine = np.add.reduceat(a * b, ends - size) if len(size) else np.zeros(0)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(cosine)], names=["a", "b", "cosine"])
+        column = batch.column("v")
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+        ends = np.asarray(column.offsets).astype(np.int64)
+        ends = pa.array(((ends - ends[0]) * 4).astype(np.int32)) if len(ends) else pa.array([0], pa.int32())
+        data = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, ends.buffers()[1], pa.py_buffer(flat.tobytes())])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), data], names=["node", "data"])
 
 
 def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", cosine: float = COSINE, tables: int = TABLES, blocks: int = BLOCKS, near: int = NEAR, scale: float = SCALE) -> DataFrame:
-    """(a, b, cosine) of the pairs a < b with at least that cosine."""
+    """(vec_id, class_id, n_links, n_copies) of every vector that is in a class with another.
+
+    `class_id` is the least id of the class; `n_copies` the number of ids of an equal vector; `n_links` the number of
+    other vectors of the class, equal ones counted once, of at least that cosine.  Vectors without a row are alone."""
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND NOT exists(v, x -> x IS NULL)")
-    unit, _ = saved(rows.mapInArrow(_normal, "id long, v array<float>").distinct(), "vectors")
-    own = unit.mapInArrow(_posts(tables, blocks, near, scale, False), "id long, cell long")
-    probes = unit.mapInArrow(_posts(tables, blocks, near, scale, True), "id long, cell long")
-    met = own.toDF("x", "cell").join(probes.toDF("y", "cell"), "cell").where("x <> y")
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    full = pairs.join(unit.toDF("a", "va"), "a").join(unit.toDF("b", "vb"), "b").where(F.size("va") == F.size("vb"))
-    return full.mapInArrow(_cosines, "a long, b long, cosine double").where(F.col("cosine") >= cosine).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    unit = rows.mapInArrow(_normal, "id long, v array<float>").withColumn("h1", F.xxhash64("v")).withColumn("h2", F.hash("v"))
+    unit, _ = saved(unit.distinct(), "vectors")
+    reps = unit.groupBy("h1", "h2").agg(F.min_by("v", "id").alias("v"), F.min("id").alias("node"), F.count("*").alias("n_copies"))
+    reps, _ = saved(reps, "representatives")
+    posts, _ = saved(reps.mapInArrow(_posts(tables, blocks, near, scale), "node long, key long, own boolean"), "cells")
+    # Cells in which nothing can meet are dropped before any vector is sent to one.
+    met = posts.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("own").alias("owned")).where("n > 1 AND owned").select("key", "n")
+    data = reps.select("node", "v").mapInArrow(_packed, "node long, data binary")
+    found = links(posts.select("key", "node").join(met, "key"), data, Cosine(cosine))
+    several = unit.select("id", "h1", "h2").join(reps.select("h1", "h2", "node"), ["h1", "h2"]).groupBy("id").agg(F.min("node").alias("a"), F.collect_set("node").alias("all")).where(F.size("all") > 1)
+    roots = components(found.union(several.select("a", F.explode("all").alias("b"))))
+    groups = roots.join(link_counts(roots, data, Cosine(cosine)), "node", "left")
+    kept = reps.select("h1", "h2", "node", "n_copies").join(groups, "node", "left").where("n_copies > 1 OR root IS NOT NULL")
+    members = unit.select("id", "h1", "h2").join(kept, ["h1", "h2"])
+    return members.groupBy(F.col("id").alias("vec_id")).agg(F.min(F.coalesce("root", "node")).alias("class_id"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"), F.max("n_copies").alias("n_copies"))
+

@@ -7,7 +7,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from marlstone.llm import lattice, lm, warc
+from marlstone.llm import lattice, links, lm, minhash, warc
+from marlstone.llm.common import components
 
 TEXT = "doc_id long, text string, nll string, window int"
 
@@ -154,13 +155,50 @@ def test_recall_and_precision(spark):
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     want = {(i, j) for i, j in itertools.combinations(range(len(u)), 2) if u[i].astype(float) @ u[j].astype(float) >= 0.95}
     frame = spark.createDataFrame([(i, x.tolist(), "c", 1.0) for i, x in enumerate(v)], "vec_id long, embedding array<float>, cell string, cosine double")
-    found = {(r.a, r.b) for r in lattice.near_vectors(frame).collect()}
-    assert len(want) > 300 and len(found & want) >= 0.9 * len(want)
-    assert all(u[a] @ u[b] > 0.9499 for a, b in found)
+    found = lattice.near_vectors(frame).collect()
+    of, n = {r.vec_id: r.class_id for r in found}, {r.vec_id: r.n_links for r in found}
+    together = {(a, b) for a, b in want if of.get(a, a) == of.get(b, b)}
+    assert len(want) > 300 and len(together) >= 0.9 * len(want)
+    parent = list(range(len(u)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in sorted(want):
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert all(root(i) == root(c) for i, c in of.items())
+    exact = [i for i in of if all(of.get(j) == of[i] for j in range(len(u)) if root(j) == root(i))]
+    assert len(exact) > 300 and all(n[i] == sum(i in p for p in want) for i in exact)
+
+
+def test_hot_cells_and_lists_are_cut_into_blocks(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 6, (400, 8)).astype(np.uint32)
+    posts = spark.createDataFrame([(k, i, 200) for i in range(400) for k in {i % 2, 7}], "key long, node long, n long")
+    data = spark.createDataFrame([(i, bytearray(r.tobytes())) for i, r in enumerate(x)], "node long, data binary")
+    found = components(links.links(posts, data, minhash.Matches(4), block=16)).collect()
+    same = [(a, b) for a, b in itertools.combinations(range(400), 2) if (x[a] == x[b]).sum() >= 4]
+    parent = list(range(400))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in same:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    of = {r.node: r.root for r in found}
+    assert len(same) > 50 and all(of.get(i, i) == root(i) for i in range(400))
+    counts = links.link_counts(spark.createDataFrame(list(of.items()), "node long, root long"), data, minhash.Matches(4), block=16)
+    want = {i: sum(i in p for p in same) for i in of}
+    assert {r.node: r.n_links for r in counts.collect()} == want
 
 
 def test_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (None, [1.0, 0.0]), (8, [1.0]), (1, [1.0, 0.0])]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert [tuple(r) for r in lattice.near_vectors(frame).collect()] == [(1, 2, 1.0)]
+    rows += [(9, [0.0, 1.0] * 700), (10, [0.0, 1.0] * 699 + [0.0, 1.01])]
+    frame = spark.createDataFrame([(*r, "n", 1) for r in rows], "vec_id long, embedding array<double>, node string, n_links int")
+    assert sorted(tuple(r) for r in lattice.near_vectors(frame).collect()) == [(1, 1, 0, 2), (2, 1, 0, 2), (9, 9, 1, 1), (10, 9, 1, 1)]
     assert lattice.near_vectors(frame.limit(0)).collect() == []
