@@ -1,26 +1,24 @@
 """Line deduplication by probing a sharded minimal perfect hash (operator 6).
 
-1. Every document's distinct line keys (64-bit hashes of the trimmed lines) are counted over the corpus.
-2. The distinct keys are split into shards by their leading bits.  For each shard a task builds a minimal
-   perfect hash, by cascading bit arrays: of every level, the keys that are alone on their bit stay, the
-   others go to the next.  Two arrays in the order of the hash hold a 16-bit fingerprint and the count of
-   each key, capped at 65535.  A shard is one file in the shared folder of about 4.5 bytes a line.
-3. Documents probe the arrays: a task sorts its own keys by shard, opens one shard after another, and
-   never holds more than one.  No line is joined or shuffled with its document.
-
-`line_dedup`, the stage of the pipeline: a line that is the second or later one of its kind in its document
-goes, and so does one that at least `least_docs` documents have, but for one occurrence in the corpus: the
-first in the document of the least doc_id (a null one is the greatest; one row, any, of those that share it).
-The index holds that document's place too, for which the rows are written once with their places, and a
-shard has about 12.5 bytes a line.  Blank lines stay.  No document is exempt.
-
-`line_report`, which is held to its SQL: a line goes when at least `least_docs` documents have it, from all of
-them, or when it is the second or later one of its kind in its document; but a document that would lose more
-than `most_loss` of its bytes stays whole.
+1. Documents are bundled, a file of the shared folder each.  A bundle posts its distinct line keys (64-bit
+   hashes of the trimmed lines), sorted, each with the number of its documents that have it and the least doc_id.
+2. The keys are split into shards by their leading bits, as many as they fill.  A shard's task counts its keys
+   over all bundles and builds a minimal perfect hash by cascading bit arrays: of every level, the keys that are
+   alone on their bit stay, the others go to the next.  Arrays in the order of the hash hold a 16-bit
+   fingerprint, the count and the bundle of the least doc_id of each key.  A shard is a file of the shared folder.
+3. The task probes its arrays for each bundle and sends bits back.  So each shard is read by one task, once,
+   and no line travels: a bundle's task cuts lines by the bits.
+
+A line that is the second or later one of its kind in its document goes, and so does one that at least
+`least_docs` documents have, but for one occurrence in the corpus: the first in the document of the least
+doc_id (a null one is the greatest; one row, any, of those that share it).  Blank lines stay.  No document is
+exempt and no count is capped.
 
 Defined results: a null text stays null, an empty one empty, with no lines dropped; a row without doc_id
 is treated like any other row, as a document of its own; repeated rows are documents of their own; lines
-end at a newline only; other columns are kept as they are.
+end at a newline only; a text of any length is read whole; exactly `least_docs` documents (a tie) are enough
+to drop a line; an empty table gives an empty one; other columns are kept as they are by `line_dedup`, whatever
+their names, and ignored by `line_report`.
 """
 
 from __future__ import annotations
@@ -30,25 +28,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marlstone.llm.common import fresh, saved, scratch_path
-from marlstone.llm.textvec import _powers, chunks, mix64, utf8
+from marlstone.llm.common import fresh, saved, scratch_path, tidied
+from marlstone.llm.store import get, put
+from marlstone.llm.textvec import PLAIN, chunks, mix64, span_hashes, utf8
 
 LEAST_DOCS = 4
-MOST_LOSS = 0.5
-KEYS_PER_SHARD = 1 << 20
+KEYS_PER_SHARD = 1 << 19
+BUNDLE_BYTES = 1 << 23
+MOST_TASKS = 100_000
 GAMMA = 2.0
-PROBE_ROWS = 1 << 15
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 11, 12, 13, 32]] = True
 _NEWLINE = 10
 
 
 class PerfectHash:
-    """A minimal perfect hash of distinct uint64 keys with a fingerprint and a count for each.
+    """A minimal perfect hash of distinct uint64 keys with a fingerprint, a count and perhaps a place for each.
 
     Levels of one bit per cell, `gamma` cells for every key left; the rank of a key's bit is its index."""
 
@@ -80,10 +79,11 @@ class PerfectHash:
             level += 1
         cells = np.concatenate(bits) if bits else np.zeros(0, bool)
         words = np.packbits(cells, bitorder="little").view(np.uint64) if len(cells) else np.zeros(0, np.uint64)
-        made = cls(np.array(sizes, np.int64), words, np.zeros(0 if places is None else len(keys), np.int64), np.zeros(len(keys), np.uint16), np.zeros(len(keys), np.uint16))
+        kind = np.min_scalar_type(int(counts.max())) if len(counts) else np.dtype(np.uint8)
+        made = cls(np.array(sizes, np.int64), words, np.zeros(0 if places is None else len(keys), np.int64), np.zeros(len(keys), np.uint16), np.zeros(len(keys), kind))
         at = made.index(keys)
         made.prints[at] = cls._print(keys)
-        made.counts[at] = np.minimum(counts, 65535).astype(np.uint16)
+        made.counts[at] = counts
         if places is not None:
             made.places[at] = places
         return made
@@ -119,14 +119,14 @@ class PerfectHash:
         return out, places
 
     def dump(self) -> bytes:
-        head = np.array([len(self.sizes), len(self.words), len(self.places), len(self.prints)], np.int64)
+        head = np.array([len(self.sizes), len(self.words), len(self.places), len(self.prints), self.counts.dtype.itemsize], np.int64)
         return b"".join(x.tobytes() for x in (head, self.sizes, self.words, self.places, self.prints, self.counts))
 
     @classmethod
     def load(cls, raw: bytes) -> PerfectHash:
-        levels, words, places, keys = (int(x) for x in np.frombuffer(raw, np.int64, 4))
-        at, parts = 32, []
-        for n, kind in ((levels, np.int64), (words, np.uint64), (places, np.int64), (keys, np.uint16), (keys, np.uint16)):
+        levels, words, places, keys, width = (int(x) for x in np.frombuffer(raw, np.int64, 5))
+        at, parts = 40, []
+        for n, kind in ((levels, np.int64), (words, np.uint64), (places, np.int64), (keys, np.uint16), (keys, np.dtype(f"u{width}"))):
             parts.append(np.frombuffer(raw, kind, n, at))
             at += n * np.dtype(kind).itemsize
         return cls(*parts)
@@ -150,13 +150,10 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     blank = last < first
     if len(place) == 0:
         return starts, ends, np.zeros(len(starts), np.uint64), row
-    a = np.where(blank, 0, place[np.minimum(first, len(place) - 1)])
-    b = np.where(blank, 0, place[np.maximum(last, 0)] + 1)
-    up, down = _powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+    a = np.where(blank, starts, place[np.minimum(first, len(place) - 1)])
+    b = np.where(blank, starts, place[np.maximum(last, 0)] + 1)
     with np.errstate(over="ignore"):
-        keys = mix64((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+        keys = mix64(span_hashes(data, PLAIN, a, b) + (b - a).astype(np.uint64))
     keys[blank] = 0
     return starts, ends, keys, row
 
@@ -176,113 +173,123 @@ def _held(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate(rows)
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, docs): the documents of the batch that have each line."""
-    for batch in batches:
-        keys, counts = np.unique(_held(batch.column("text"))[0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "docs"])
+_POSTS = "bundle long, n long, keys binary, docs binary, first binary"
+_ROUTED = "shard long, " + _POSTS.replace(" n long,", "")
+_ANSWERS = "bundle long, shard long, n long, drop binary, own binary"
 
 
-def _first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, docs, doc, place): the same, with the least doc_id among them and the place of its row."""
-    for batch in batches:
-        keys, row = _held(batch.column("text"))
-        doc, place = batch.column("doc").to_numpy()[row], batch.column("place").to_numpy()[row]
-        order = np.lexsort((place, doc, keys))
-        keys, first, counts = np.unique(keys[order], return_index=True, return_counts=True)
-        mine = order[first]
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64)), pa.array(doc[mine]), pa.array(place[mine])], names=["key", "docs", "doc", "place"])
+def _first_rows(keys: np.ndarray, rows: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, number of rows of each, its row of the least doc)."""
+    order = np.lexsort((rows, doc[rows], keys))
+    distinct, first, counts = np.unique(keys[order], return_index=True, return_counts=True)
+    return distinct, counts, rows[order[first]]
 
 
-def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+def _ipc(batch: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+        to.write_batch(batch)
+    return out.getvalue()
 
 
-def _place(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path)
+def _bundler(folder: str, doc: str, size: int):
+    """Writes bundles of rows of about `size` bytes of text, and posts their keys."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, offsets = utf8(batch.column("text"))
+            for lo, hi in chunks(offsets, size):
+                part = batch.slice(lo, hi - lo)
+                # A name of its own for each attempt: the posts of those that don't count are never read, nor are their files.
+                bundle = int(np.random.default_rng().integers(1 << 62))
+                put(folder, str(bundle), _ipc(part))
+                ids = part.column(doc).to_numpy()
+                keys, counts, first = _first_rows(*_held(part.column("text")), ids)
+                values = ([bundle], [len(keys)], [keys.tobytes()], [counts.astype(np.uint32).tobytes()], [ids[first].tobytes()])
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["bundle", "n", "keys", "docs", "first"])
 
-def _builder(path: str, shards: int):
-    def write(shard: int, keys: list, counts: list, places: list) -> int:
-        made = PerfectHash.build(np.concatenate(keys), np.concatenate(counts), np.concatenate(places) if places else None)
-        where, base = _place(path)
-        where.create_dir(base, recursive=True)
-        token = np.random.default_rng().integers(1 << 62)
-        with where.open_output_stream(f"{base}/.{shard}-{token}") as out:
-            out.write(made.dump())
-        where.move(f"{base}/.{shard}-{token}", f"{base}/{shard}")  # a task that runs twice leaves one file
-        return len(made.prints)
+    return tidied(run)
+
+
+def _router(shards: int):
+    """A row for each bundle and shard; one at least for each bundle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, keys, counts, places, done = -1, [], [], [], []
         for batch in batches:
-            key = batch.column("key").to_numpy().view(np.uint64)
-            count, shard = batch.column("docs").to_numpy(), batch.column("shard").to_numpy()
-            for s in np.unique(shard):
-                if s != current and keys:
-                    done.append((current, write(current, keys, counts, places)))
-                    keys, counts, places = [], [], []
-                current = int(s)
-                keys.append(key[shard == s])
-                counts.append(count[shard == s])
-                if "place" in batch.schema.names:
-                    places.append(batch.column("place").to_numpy()[shard == s])
-        if keys:
-            done.append((current, write(current, keys, counts, places)))
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([s for s, _ in done], pa.int64()), "n": pa.array([n for _, n in done], pa.int64())})
+            for x in batch.to_pylist():
+                keys, docs, first = np.frombuffer(x["keys"], np.uint64), np.frombuffer(x["docs"], np.uint32), np.frombuffer(x["first"], np.int64)
+                edges = np.searchsorted(_shard(keys, shards), np.arange(shards + 1))
+                some = np.flatnonzero(np.diff(edges)) if len(keys) else np.zeros(1, np.int64)
+                cut = [[v[edges[s] : edges[s + 1]].tobytes() for s in some] for v in (keys, docs, first)]
+                arrays = [pa.array(some.astype(np.int64)), pa.array([x["bundle"]] * len(some), pa.int64()), *(pa.array(c, pa.binary()) for c in cut)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["shard", "bundle", "keys", "docs", "first"])
 
     return run
 
 
-class LineIndex:
-    """The sharded index: where it is and which shards have keys."""
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
-    def __init__(self, path: str, shards: int, sizes: dict[int, int]):
-        self.path, self.shards, self.sizes = path, shards, sizes
 
-    def found(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts and places of any keys, one shard in memory at a time."""
-        out, places = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
-        if not len(keys):
-            return out, places
-        where, base = _place(self.path)
-        shard = _shard(keys, self.shards)
-        order = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for s in np.flatnonzero(np.diff(edges)):
-            if int(s) in self.sizes:
-                with where.open_input_file(f"{base}/{s}") as f:
-                    index = PerfectHash.load(f.readall())
-                mine = order[edges[s] : edges[s + 1]]
-                out[mine], places[mine] = index.found(keys[mine])
-        return out, places
+def _prober(folder: str, least_docs: int):
+    """Builds each shard's index, writes it, and probes it for every bundle."""
+
+    def answers(shard: int, rows: list[tuple[int, bytes, bytes, bytes]]) -> pa.RecordBatch:
+        bundles = np.array([r[0] for r in rows], np.int64)
+        each = [np.frombuffer(r[1], np.uint64) for r in rows]
+        keys, docs, first = np.concatenate(each), np.frombuffer(b"".join(r[2] for r in rows), np.uint32), np.frombuffer(b"".join(r[3] for r in rows), np.int64)
+        of = np.repeat(bundles, [len(k) for k in each])
+        order = np.lexsort((of, first, keys))
+        start = np.flatnonzero(np.concatenate([[True], keys[order[1:]] != keys[order[:-1]]])) if len(keys) else np.zeros(0, np.int64)
+        totals = np.add.reduceat(docs[order].astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
+        index = PerfectHash.build(keys[order[start]], totals, of[order[start]])
+        put(folder, str(shard), index.dump())
+        drops, owns = [], []
+        for bundle, mine in zip(bundles, each, strict=True):
+            count, keeper = index.found(mine)
+            drop = count >= least_docs
+            own = drop & (keeper == bundle)
+            drops.append(np.packbits(drop).tobytes())
+            owns.append(np.packbits(own).tobytes() if own.any() else b"")
+        n = pa.array([len(k) for k in each], pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(bundles), pa.array([shard] * len(rows), pa.int64()), n, pa.array(drops, pa.binary()), pa.array(owns, pa.binary())], names=["bundle", "shard", "n", "drop", "own"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, rows = -1, []
+        for batch in batches:
+            for shard, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "bundle", "keys", "docs", "first")), strict=True):
+                if shard != current and rows:
+                    yield answers(current, rows)
+                    rows = []
+                current = shard
+                rows.append(tuple(row))
+        if rows:
+            yield answers(current, rows)
 
-def build_index(docs: DataFrame, keys_per_shard: int = KEYS_PER_SHARD, place: str | None = None) -> LineIndex:
-    """Counts all lines of all documents and writes the index; only shard sizes come to the driver.
+    return tidied(run)
 
-    With `place`, a column of distinct numbers, the index has that of each line's document of the least doc_id."""
-    spark = docs.sparkSession
-    text = F.col("text").cast("string").alias("text")
-    if place is None:
-        counts = docs.select(text).mapInArrow(_keys, "key long, docs long").groupBy("key").agg(F.sum("docs").alias("docs"))
-    else:
-        doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc")
-        partial = docs.select(text, doc, F.col(place).alias("place")).mapInArrow(_first_keys, "key long, docs long, doc long, place long")
-        counts = partial.groupBy("key").agg(F.sum("docs").alias("docs"), F.min_by("place", "doc").alias("place"))
-    counted, _ = saved(counts, "line-counts")
-    shards = max(1, -(-counted.count() // keys_per_shard))
-    path = scratch_path(spark, "line-index")
-    high = F.shiftrightunsigned("key", 32)
-    placed = counted.withColumn("shard", F.shiftrightunsigned(high * shards, 32).cast("long"))
-    built = placed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_builder(path, shards), "shard long, n long")
-    return LineIndex(path, shards, {r["shard"]: r["n"] for r in built.collect()})
+
+class LineIndex:
+    """The sharded index that a run leaves in the shared folder."""
+
+    def __init__(self, folder: str, shards: int):
+        self.folder, self.shards = folder, shards
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """The number of documents that have each of the keys, one shard in memory at a time; 0 for unknown ones, but for 1 in 65,536."""
+        out, shard = np.zeros(len(keys), np.int64), _shard(keys, self.shards)
+        for s in np.unique(shard):
+            raw = get(self.folder, str(s))
+            if raw is not None:
+                out[shard == s] = PerfectHash.load(raw).count(keys[shard == s])
+        return out
 
 
 def _without(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndarray, drop: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The bytes of rows without the lines to drop, and the new size of each row.
 
-    A row whose last line goes ends without the newline of the line before."""
+    A row whose last line goes, and had no newline, ends without that of the line before."""
     if not drop.any():
         return data.tobytes(), np.diff(offsets)
     edge = np.zeros(len(data) + 1, np.int8)
@@ -291,7 +298,7 @@ def _without(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.n
     kept = np.cumsum(edge, dtype=np.int8)[:-1] == 0
     last = offsets[1:][np.diff(offsets) > 0]
     begin = offsets[:-1][np.diff(offsets) > 0]
-    cut = ~kept[last - 1]
+    cut = ~kept[last - 1] & (data[last - 1] != _NEWLINE)
     if cut.any():
         live = np.flatnonzero(kept)
         tail = np.searchsorted(live, last[cut]) - 1
@@ -303,94 +310,103 @@ def _without(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.n
     return data[kept].tobytes(), np.diff(total[offsets])
 
 
-def _prober(index: LineIndex, least_docs: int, most_loss: float | None, report: bool, place: str | None = None):
-    def clean(column: pa.Array, places: np.ndarray | None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        data, offsets = utf8(column)
-        starts, ends, keys, rows = [], [], [], []
-        for lo, hi in chunks(offsets):
-            a, b, k, r = lines_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            starts.append(a + offsets[lo])
-            ends.append(b + offsets[lo])
-            keys.append(k)
-            rows.append(r + lo)
-        n = len(column)
-        if not starts:
-            return column, np.zeros(n, np.int64), np.zeros(n, np.int64)
-        start, end, key, row = (np.concatenate(x) for x in (starts, ends, keys, rows))
-        unique, inverse = np.unique(key, return_inverse=True)
-        counts, keeper = index.found(unique)
-        drop = (counts >= least_docs)[inverse]
-        if places is not None:
-            drop &= keeper[inverse] != places[row]
-        order = np.lexsort((start, key, row))
-        again = np.zeros(len(key), bool)
-        again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
-        drop = (drop | again) & (key != 0)
-        if most_loss is not None:
-            lost = np.bincount(row, weights=(end - start) * drop, minlength=n)
-            drop &= ~(lost > most_loss * np.diff(offsets))[row]
-        lines, dropped = np.bincount(row, minlength=n), np.bincount(row, weights=drop, minlength=n).astype(np.int64)
-        if not drop.any():
-            return column, lines, dropped
-        parts, sizes = [], []
-        for lo, hi in chunks(offsets):
-            mine = slice(*np.searchsorted(row, [lo, hi]))
-            base = offsets[lo]
-            part, size = _without(data[base : offsets[hi]], offsets[lo : hi + 1] - base, start[mine] - base, end[mine] - base, drop[mine])
-            parts.append(part)
-            sizes.append(size)
-        new = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-        made = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(new.tobytes()), pa.py_buffer(b"".join(parts))])
-        if column.null_count:
-            made = pc.if_else(column.is_null(), pa.scalar(None, pa.string()), made)
-        return made, lines, dropped
+def _cleaned(table: pa.RecordBatch, doc: str, drop_key: np.ndarray, own_key: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(texts without repeated lines, lines of each row, lines dropped of each) of a bundle, by the bits of its sorted keys."""
+    column = table.column("text")
+    data, offsets = utf8(column)
+    starts, ends, keys, rows = [], [], [], []
+    for lo, hi in chunks(offsets):
+        a, b, k, r = lines_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        starts.append(a + offsets[lo])
+        ends.append(b + offsets[lo])
+        keys.append(k)
+        rows.append(r + lo)
+    n = len(column)
+    if not starts:
+        return column, np.zeros(n, np.int64), np.zeros(n, np.int64)
+    start, end, key, row = (np.concatenate(x) for x in (starts, ends, keys, rows))
+    solid = key != 0
+    drop = np.zeros(len(key), bool)
+    if solid.any():
+        known, _, keeper = _first_rows(key[solid], row[solid], table.column(doc).to_numpy())
+        at = np.searchsorted(known, key[solid])
+        drop[solid] = drop_key[at] & ~(own_key[at] & (keeper[at] == row[solid]))
+    order = np.lexsort((start, key, row))
+    again = np.zeros(len(key), bool)
+    again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
+    drop = (drop | again) & solid
+    lines, dropped = np.bincount(row, minlength=n), np.bincount(row, weights=drop, minlength=n).astype(np.int64)
+    if not drop.any():
+        return column, lines, dropped
+    parts, sizes = [], []
+    for lo, hi in chunks(offsets):
+        mine = slice(*np.searchsorted(row, [lo, hi]))
+        base = offsets[lo]
+        part, size = _without(data[base : offsets[hi]], offsets[lo : hi + 1] - base, start[mine] - base, end[mine] - base, drop[mine])
+        parts.append(part)
+        sizes.append(size)
+    new = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+    made = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(new.tobytes()), pa.py_buffer(b"".join(parts))])
+    return pc.if_else(column.is_null(), pa.scalar(None, pa.string()), made) if column.null_count else made, lines, dropped
+
+
+def _cleaner(folder: str, doc: str, report: bool):
+    def clean(bundle: int, drops: list[np.ndarray], owns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        with pa.ipc.open_stream(get(folder, str(bundle))) as stream:
+            for part in stream:
+                text, lines, dropped = _cleaned(part, doc, np.concatenate(drops), np.concatenate(owns))
+                names = [c for c in part.schema.names if c != doc]
+                columns = [text.cast(pa.string()) if c == "text" else part.column(c) for c in names]
+                if report:
+                    names, columns = [*names, "lines", "dropped"], [*columns, pa.array(lines.astype(np.int64)), pa.array(dropped)]
+                done = pa.RecordBatch.from_arrays(columns, names=names)
+                for at in range(0, done.num_rows, 2000):
+                    yield done.slice(at, 2000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-
-        def flush():
-            table = pa.Table.from_batches(held).combine_chunks()
-            at = table.schema.names.index("text")
-            places = table.column(place).to_numpy() if place else None
-            text, lines, dropped = clean(table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string()), places)
-            if isinstance(text, pa.ChunkedArray):
-                text = text.combine_chunks()
-            text = text.cast(pa.string())
-            if report:
-                done = pa.table({"doc_id": table.column("doc_id"), "text": text, "lines": pa.array(lines.astype(np.int64)), "dropped": pa.array(dropped)})
-            else:
-                done = table.set_column(at, pa.field("text", pa.string()), text)
-                done = done.drop_columns([place]) if place else done
-            yield from done.to_batches(max_chunksize=10_000)
-
+        current, drops, owns = None, [], []
         for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= PROBE_ROWS or sum(b.nbytes for b in held) > 1 << 25:
-                yield from flush()
-                held, rows = [], 0
-        if held:
-            yield from flush()
+            for bundle, n, drop, own in zip(*(batch.column(c).to_pylist() for c in ("bundle", "n", "drop", "own")), strict=True):
+                if bundle != current and drops:
+                    yield from clean(current, drops, owns)
+                    drops, owns = [], []
+                current = bundle
+                drops.append(np.unpackbits(np.frombuffer(drop, np.uint8), count=n).astype(bool))
+                owns.append(np.unpackbits(np.frombuffer(own, np.uint8), count=n).astype(bool) if own else np.zeros(n, bool))
+        if drops:
+            yield from clean(current, drops, owns)
 
-    return run
+    return tidied(run)
 
 
-def line_dedup(docs: DataFrame, least_docs: int = LEAST_DOCS, keys_per_shard: int = KEYS_PER_SHARD) -> DataFrame:
+def _run(docs: DataFrame, least_docs: int, keys_per_shard: int, bundle_bytes: int, report: bool) -> tuple[DataFrame, LineIndex]:
+    spark = docs.sparkSession
+    typed, doc = docs.withColumn("text", F.col("text").cast("string")), fresh("doc", docs)
+    bundles, index = scratch_path(spark, "line-bundles"), scratch_path(spark, "line-index")
+    rows = typed.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)))
+    posts, _ = saved(rows.mapInArrow(_bundler(bundles, doc, bundle_bytes), _POSTS), "line-posts")
+    keys, n = posts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    shards = max(1, -(-keys // keys_per_shard))
+    # As many tasks as there is work, which adaptive planning must not merge: a row stands for a shard's part or a whole bundle.
+    routed = posts.mapInArrow(_router(shards), _ROUTED).repartition(min(shards, MOST_TASKS), "shard").sortWithinPartitions("shard")
+    answers = routed.mapInArrow(_prober(index, least_docs), _ANSWERS)
+    answers = answers.repartition(max(1, min(n, MOST_TASKS)), "bundle").sortWithinPartitions("bundle", "shard")
+    more = [T.StructField("lines", T.LongType()), T.StructField("dropped", T.LongType())] if report else []
+    return answers.mapInArrow(_cleaner(bundles, doc, report), T.StructType([*typed.schema.fields, *more])), LineIndex(index, shards)
+
+
+def line_dedup(docs: DataFrame, least_docs: int = LEAST_DOCS, keys_per_shard: int = KEYS_PER_SHARD, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """`docs`, with all its columns and rows, `text` without repeated lines: of those of many documents one occurrence stays."""
-    typed, place = docs.withColumn("text", F.col("text").cast("string")), fresh("place", docs)
-    rows, _ = saved(typed.withColumn(place, F.monotonically_increasing_id()), "line-rows")
-    index = build_index(rows, keys_per_shard, place)
-    return rows.mapInArrow(_prober(index, least_docs, None, False, place), typed.schema)
+    return _run(docs, least_docs, keys_per_shard, bundle_bytes, False)[0]
 
 
-def line_report(docs: DataFrame, least_docs: int = LEAST_DOCS, most_loss: float = MOST_LOSS, keys_per_shard: int = KEYS_PER_SHARD) -> DataFrame:
+def line_report(docs: DataFrame, least_docs: int = LEAST_DOCS, keys_per_shard: int = KEYS_PER_SHARD, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """(doc_id, text, lines, dropped): the text without repeated lines, and the numbers of lines before and dropped."""
-    index = build_index(docs, keys_per_shard)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_prober(index, least_docs, most_loss, True), "doc_id long, text string, lines long, dropped long")
+    return _run(rows, least_docs, keys_per_shard, bundle_bytes, True)[0]
 
 
-def sql(least_docs: int = LEAST_DOCS, most_loss: float = MOST_LOSS, table: str = "documents") -> str:
+def sql(least_docs: int = LEAST_DOCS, table: str = "documents") -> str:
     """DuckDB SQL for `line_report`."""
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, text FROM {table}),
@@ -398,21 +414,17 @@ pieces AS (
   SELECT rid, doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM docs WHERE text IS NOT NULL AND text <> ''),
 lines AS (
-  SELECT rid, i, line, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS k,
+  SELECT rid, doc_id, i, line, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS k,
          i = max(i) OVER (PARTITION BY rid) AS final FROM pieces),
-known AS (SELECT k, count(DISTINCT rid) AS n FROM lines WHERE k <> '' GROUP BY k),
+known AS (
+  SELECT k, count(DISTINCT rid) AS n, first(rid ORDER BY doc_id NULLS LAST, rid) AS keeper FROM lines WHERE k <> '' GROUP BY k),
 marked AS (
   SELECT l.rid, l.i, l.line, l.final,
-         l.k <> '' AND (coalesce(n, 0) >= {least_docs} OR row_number() OVER (PARTITION BY l.rid, l.k ORDER BY l.i) > 1) AS gone,
-         strlen(l.line) + CASE WHEN l.final THEN 0 ELSE 1 END AS bytes
+         l.k <> '' AND (coalesce(n, 0) >= {least_docs} AND l.rid <> keeper OR row_number() OVER (PARTITION BY l.rid, l.k ORDER BY l.i) > 1) AS gone
   FROM lines l LEFT JOIN known ON l.k = known.k),
-judged AS (
-  SELECT rid, sum(CASE WHEN gone THEN bytes ELSE 0 END) > {most_loss} * sum(bytes) AS whole,
-         count(*) FILTER (NOT (final AND line = '')) AS lines FROM marked GROUP BY rid),
 cleaned AS (
-  SELECT m.rid, string_agg(m.line, chr(10) ORDER BY m.i) FILTER (whole OR NOT gone) AS text,
-         count(*) FILTER (gone AND NOT whole) AS dropped, any_value(j.lines) AS lines
-  FROM marked m JOIN judged j ON m.rid = j.rid GROUP BY m.rid)
+  SELECT rid, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS text, count(*) FILTER (gone) AS dropped,
+         count(*) FILTER (NOT (final AND line = '')) AS lines FROM marked GROUP BY rid)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(c.text, '') END AS text,
        CAST(coalesce(c.lines, 0) AS BIGINT) AS lines, CAST(coalesce(c.dropped, 0) AS BIGINT) AS dropped
 FROM docs d LEFT JOIN cleaned c ON d.rid = c.rid"""
