@@ -13,8 +13,10 @@ their id; the bound is the same at every size of corpus.  Scoring reads every wi
 
 Defined results: a null or empty text scores 0 and is not toxic; letter case counts for non-ASCII letters
 only; labels other than 0 and 1, null labels, and doc_ids labelled both ways are not used; without a
-toxic and an ordinary labelled document nothing is toxic; repeated rows are scored each; rows without a
-doc_id are scored too; other columns are ignored by `scored` and kept by `without_toxic`.
+toxic and an ordinary labelled document nothing is toxic; of several texts of a labelled id the least is fitted
+on; repeated rows are scored each, alike; rows without a doc_id are scored too; a text of any length is scored
+whole, window by window; a score equal to the threshold (a tie) is not toxic; an empty table gives an empty
+one; other columns, whatever their names, are ignored by `scored` and kept by `without_toxic`.
 """
 
 from __future__ import annotations
@@ -28,9 +30,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.common import tidied
+
 WINDOW = 256
 GRAM = 4
 LEAST_DOCS = 6
+MERGED_GRAMS = 1 << 20
 ORDINARY_BYTES = 96 << 10
 TOXIC_BYTES = 4 << 10
 TOXIC_DOCS = 3000
@@ -79,8 +84,30 @@ def _grams(text: bytes) -> np.ndarray:
 
 
 def _document_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [np.unique(_grams(t)) for t in texts]
-    return np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
+    """Distinct runs of all texts and the number of texts that have each, merged a bounded number of bytes at a time."""
+    grams, counts, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+    for i, text in enumerate(texts, 1):
+        held.append(np.unique(_grams(text)))
+        size += len(held[-1])
+        if size > MERGED_GRAMS or i == len(texts):
+            both = np.concatenate([grams, *held])
+            weight = np.concatenate([counts, np.ones(size, np.int64)])
+            order = np.argsort(both, kind="stable")
+            both = both[order]
+            first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+            grams, counts = both[first], np.add.reduceat(weight[order], first) if len(first) else counts
+            held, size = [], 0
+    return grams, counts
+
+
+def _counts_of(grams: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """The number of texts that have each of the sorted runs."""
+    times = np.zeros(len(grams), np.int64)
+    for text in texts:
+        mine = np.unique(_grams(text))
+        at = np.minimum(np.searchsorted(grams, mine), len(grams) - 1)
+        times[at[grams[at] == mine]] += 1
+    return times
 
 
 def telling_spans(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
@@ -88,12 +115,10 @@ def telling_spans(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
 
     Lack: no more than a twentieth of the rate at which toxic texts have them."""
     grams, counts = _document_counts(toxic)
-    seen, times = _document_counts(ordinary)
-    grams, counts = grams[counts >= min(LEAST_DOCS, 1 + len(toxic) // 50)], counts[counts >= min(LEAST_DOCS, 1 + len(toxic) // 50)]
-    if len(seen) and len(grams):
-        at = np.minimum(np.searchsorted(seen, grams), len(seen) - 1)
-        there = np.where(seen[at] == grams, times[at], 0)
-        grams = grams[there * 20 * len(toxic) <= counts * len(ordinary)]
+    some = counts >= min(LEAST_DOCS, 1 + len(toxic) // 50)
+    grams, counts = grams[some], counts[some]
+    if len(grams):
+        grams = grams[_counts_of(grams, ordinary) * 20 * len(toxic) <= counts * len(ordinary)]
     if not len(grams):
         return []
     spans = []
@@ -169,7 +194,7 @@ def _fitter(false_rate: float):
         model = Model.fit(toxic, ordinary, false_rate)
         yield pa.RecordBatch.from_pydict({"model": pa.array([model.dump()], pa.binary())})
 
-    return run
+    return tidied(run)
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, ordinary_docs: int = ORDINARY_DOCS, false_rate: float = FALSE_RATE) -> Model:
@@ -180,7 +205,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, ordina
     sample = known.where("toxic = 1").orderBy(*order).limit(toxic_docs).union(known.where("toxic = 0").orderBy(*order).limit(ordinary_docs))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     # The sample is at most toxic_docs + ordinary_docs rows of two numbers, so it can be broadcast at any size of corpus.
-    chosen = rows.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text")
+    # Of several texts of an id the least is used, so that the fit is the same each time.
+    chosen = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     found = chosen.coalesce(1).mapInArrow(_fitter(false_rate), "model binary").first()
     return Model.load(bytes(found["model"])) if found else Model(b"", b"", float("inf"))
 
@@ -199,7 +225,7 @@ def _scorer(raw: bytes):
             names = [c for i, c in enumerate(batch.schema.names) if i != at]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64()), pa.array(counts, pa.int64())], names=[*names, "score", "windows"])
 
-    return run
+    return tidied(run)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -221,7 +247,7 @@ def _keeper(raw: bytes, column: str):
             keep = [not t.is_valid or model.score(str(t.as_py()).encode().lower())[0] <= model.threshold for t in batch.column(column)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return tidied(run)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
