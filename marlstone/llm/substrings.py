@@ -17,10 +17,16 @@ made from those of its halves, so that no later level reads texts.  Files of lev
 The result has, for every document, the maximal runs of words covered by repeated windows of `least`
 words; `longest` is the longest window in the run that repeats as a whole, by levels.
 
+`without_repeats` cuts passages: of every repeated window of `least` words the first occurrence stays, in the
+order in which the rows are read, and the words that any later one covers go, with what follows them up to the
+next word.
+
 Defined results: words are as in textvec, so case of ASCII letters, punctuation and space do not matter;
-texts that are null, empty or shorter than `least` words have no passages; a passage repeated only within
-one row does not count; each row is a document, so a row that occurs twice repeats; rows without a doc_id
-are left out; an empty table gives an empty one; other columns are ignored.
+texts that are null, empty or shorter than `least` words have no passages; a text of any length is read
+whole; exactly `least` words (a tie) are enough; a passage repeated only within one row does not count; each row
+is a document, so a row that occurs twice repeats; rows without a doc_id are left out by `repeated_passages` and
+treated as any other by `without_repeats`; an empty table gives an empty one; other columns, whatever their
+names, are ignored by the first and kept by the second.
 """
 
 from __future__ import annotations
@@ -34,14 +40,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import remove, saved, scratch_path, texts
-from marlstone.llm.store import get_arrays, names, put_arrays
-from marlstone.llm.textvec import _powers, chunks, mix64, shingle_hashes, utf8, word_hashes
+from marlstone.llm.common import fresh, remove, saved, scratch_path, texts, tidied
+from marlstone.llm.store import get_arrays, put_arrays
+from marlstone.llm.textvec import _powers, chunks, mix64, shingle_hashes, utf8, word_hashes, word_spans
 
 BASE_WORDS = 25
 GRAM_WORDS = 8
 LEAST_WORDS = 50
 BUNDLE_BYTES = 1 << 23
+BUCKET_BYTES = 1 << 25
+MOST_TASKS = 100_000
 _DOUBLE = np.uint64(0xA24BAED4963EE407)
 
 
@@ -108,7 +116,7 @@ class _Posts:
     """The distinct keys of a bundle's items, and which of them two rows of the bundle have."""
 
     def __init__(self, keys: np.ndarray, rows: np.ndarray):
-        self.unique, self.inverse = np.unique(keys, return_inverse=True)
+        self.unique, self.first, self.inverse = np.unique(keys, return_index=True, return_inverse=True)
         low = np.full(len(self.unique), np.iinfo(np.int64).max)
         high = np.full(len(self.unique), -1)
         np.minimum.at(low, self.inverse, rows)
@@ -125,15 +133,25 @@ class _Posts:
     def _bucket(self, buckets: int) -> np.ndarray:
         return ((self.unique >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
-    def repeated(self, found: dict[str, np.ndarray] | None, buckets: int) -> np.ndarray:
-        """For each item whether its key repeats, by the bits that the buckets sent back."""
+    def _flags(self, found: dict[str, np.ndarray] | None, buckets: int, prefix: str = "") -> np.ndarray:
         flags = np.zeros(len(self.unique), bool)
         if found:
             edges = np.searchsorted(self._bucket(buckets), np.arange(buckets + 1))
-            for b, bits in found.items():
-                n = edges[int(b) + 1] - edges[int(b)]
-                flags[edges[int(b)] : edges[int(b) + 1]] = np.unpackbits(bits, count=n).astype(bool)
-        return flags[self.inverse]
+            for name, bits in found.items():
+                if name.startswith(prefix) and name[len(prefix) :].isdigit():
+                    b = int(name[len(prefix) :])
+                    flags[edges[b] : edges[b + 1]] = np.unpackbits(bits, count=edges[b + 1] - edges[b]).astype(bool)
+        return flags
+
+    def repeated(self, found: dict[str, np.ndarray] | None, buckets: int) -> np.ndarray:
+        """For each item whether its key repeats, by the bits that the buckets sent back."""
+        return self._flags(found, buckets)[self.inverse]
+
+    def first_of_all(self, found: dict[str, np.ndarray] | None, buckets: int) -> np.ndarray:
+        """For each item whether it is the first of its key: of its bundle, and that one the first that has the key."""
+        out = np.zeros(len(self.inverse), bool)
+        out[self.first[self._flags(found, buckets, "own")]] = True
+        return out
 
 
 _POSTS = "bucket long, bundle long, keys binary, multi binary"
@@ -159,13 +177,14 @@ def _bundler(root: str, base: int, gram: int, buckets: int, size: int):
                 yield _frame(posts)
             bundle += 1
 
-    return run
+    return tidied(run)
 
 
-def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sends back to every bundle which of its keys two documents have."""
+def _bucket(mark: bool):
+    """Sends back to every bundle which of its keys two documents have and, with `mark`, of which it is the first bundle."""
 
     def answers(rows: list[tuple[int, bytes, bytes]], bucket: int) -> pa.RecordBatch | None:
+        rows = sorted(rows, key=lambda r: r[0])
         parts = [unpacked(k) for _, k, _ in rows]
         multi = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(p)) for p, (_, _, m) in zip(parts, rows, strict=True)]).astype(bool)
         keys = np.concatenate(parts)
@@ -177,46 +196,58 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flag = (np.bincount(group) > 1) | (np.bincount(group, weights=multi[order]) > 0)
         repeats = np.empty(len(keys), bool)
         repeats[order] = flag[group]
+        own = np.zeros(len(keys), bool)
+        own[order[first]] = mark
         edges = np.cumsum([0, *map(len, parts)])
-        out = [(bundle, repeats[a:b]) for (bundle, _, _), a, b in zip(rows, edges[:-1], edges[1:], strict=True)]
-        out = [(bundle, np.packbits(x).tobytes(), int(x.sum())) for bundle, x in out if x.any()]
+        out = [(bundle, repeats[a:b], own[a:b]) for (bundle, _, _), a, b in zip(rows, edges[:-1], edges[1:], strict=True)]
+        out = [(bundle, np.packbits(x).tobytes(), np.packbits(y).tobytes() if mark else b"", int(x.sum())) for bundle, x, y in out if x.any()]
         if not out:
             return None
-        bundle, bits, n = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(bundle, pa.int64()), pa.array([bucket] * len(bundle), pa.int64()), pa.array(bits, pa.binary()), pa.array(n, pa.int64())], names=["bundle", "bucket", "bits", "n"])
+        bundle, bits, firsts, n = zip(*out, strict=True)
+        arrays = [pa.array(bundle, pa.int64()), pa.array([bucket] * len(bundle), pa.int64()), pa.array(bits, pa.binary()), pa.array(firsts, pa.binary()), pa.array(n, pa.int64())]
+        return pa.RecordBatch.from_arrays(arrays, names=["bundle", "bucket", "bits", "own", "n"])
 
-    current, rows = -1, []
-    for batch in batches:
-        for bucket, bundle, keys, multi in zip(*(batch.column(c).to_pylist() for c in ("bucket", "bundle", "keys", "multi")), strict=True):
-            if bucket != current and rows:
-                done = answers(rows, current)
-                if done is not None:
-                    yield done
-                rows = []
-            current = bucket
-            rows.append((bundle, keys, multi))
-    if rows:
-        done = answers(rows, current)
-        if done is not None:
-            yield done
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, rows = -1, []
+        for batch in batches:
+            for bucket, bundle, keys, multi in zip(*(batch.column(c).to_pylist() for c in ("bucket", "bundle", "keys", "multi")), strict=True):
+                if bucket != current and rows:
+                    done = answers(rows, current)
+                    if done is not None:
+                        yield done
+                    rows = []
+                current = bucket
+                rows.append((bundle, keys, multi))
+        if rows:
+            done = answers(rows, current)
+            if done is not None:
+                yield done
+
+    return tidied(run)
 
 
 def _answer_writer(folder: str):
+    """Writes the answers to each bundle as a file; (bundle, n): how many of its keys repeat."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, found, total = None, {}, 0
+        current, found, total, done = None, {}, 0, []
         for batch in batches:
-            for bundle, bucket, bits, n in zip(*(batch.column(c).to_pylist() for c in ("bundle", "bucket", "bits", "n")), strict=True):
+            for bundle, bucket, bits, own, n in zip(*(batch.column(c).to_pylist() for c in ("bundle", "bucket", "bits", "own", "n")), strict=True):
                 if bundle != current and found:
                     put_arrays(folder, str(current), **found)
-                    found = {}
+                    done.append((current, total))
+                    found, total = {}, 0
                 current = bundle
                 found[str(bucket)] = np.frombuffer(bits, np.uint8)
+                if own:
+                    found[f"own{bucket}"] = np.frombuffer(own, np.uint8)
                 total += n
         if found:
             put_arrays(folder, str(current), **found)
-        yield pa.RecordBatch.from_pydict({"n": pa.array([total], pa.int64())})
+            done.append((current, total))
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in done], pa.int64()), pa.array([n for _, n in done], pa.int64())], names=["bundle", "n"])
 
-    return run
+    return tidied(run)
 
 
 def _first_windows(root: str, base: int, gram: int, buckets: int):
@@ -236,12 +267,12 @@ def _first_windows(root: str, base: int, gram: int, buckets: int):
                 np.cumsum(words * up[: len(words)], out=sums[1:])
                 hashes = mix64((sums[places + base] - sums[places]) * down[places])
                 row = np.searchsorted(of_row, places, side="right") - 1
-                put_arrays(f"{root}/state-{base}", str(bundle), ids=held["ids"], of_row=of_row, places=places, rows=row, hashes=hashes, spans=np.zeros((0, 4), np.int64))
+                put_arrays(f"{root}/state-{base}", str(bundle), ids=held["ids"], of_row=of_row, places=places, rows=row, hashes=hashes, spans=np.zeros((0, 4), np.int64), cuts=np.zeros((0, 4), np.int64))
                 posts = list(_Posts(hashes, row).rows(bundle, buckets))
                 if posts:
                     yield _frame(posts)
 
-    return run
+    return tidied(run)
 
 
 def covered(places: np.ndarray, rows: np.ndarray, length: int) -> np.ndarray:
@@ -260,8 +291,12 @@ def _doubled(root: str, length: int, least: int, buckets: int):
         for batch in batches:
             for bundle in batch.column("bundle").to_pylist():
                 state = get_arrays(f"{root}/state-{length}", str(bundle))
-                places, rows, hashes, spans = (state[k] for k in ("places", "rows", "hashes", "spans"))
-                keep = _Posts(hashes, rows).repeated(get_arrays(f"{root}/answers-{length}", str(bundle)), buckets)
+                places, rows, hashes, spans, cuts = (state[k] for k in ("places", "rows", "hashes", "spans", "cuts"))
+                posts, found = _Posts(hashes, rows), get_arrays(f"{root}/answers-{length}", str(bundle))
+                keep = posts.repeated(found, buckets)
+                if length == least:
+                    later = keep & ~posts.first_of_all(found, buckets)
+                    cuts = covered(places[later], rows[later], length)
                 places, rows, hashes = places[keep], rows[keep], hashes[keep]
                 if length == least:
                     spans = covered(places, rows, length)
@@ -272,57 +307,98 @@ def _doubled(root: str, length: int, least: int, buckets: int):
                 both = (places[second] == places + length) & (rows[second] == rows) if len(places) else np.zeros(0, bool)
                 hashes = mix64(hashes[both] + hashes[second[both]] * _DOUBLE)
                 places, rows = places[both], rows[both]
-                put_arrays(f"{root}/state-{2 * length}", str(bundle), ids=state["ids"], of_row=state["of_row"], places=places, rows=rows, hashes=hashes, spans=spans)
+                put_arrays(f"{root}/state-{2 * length}", str(bundle), ids=state["ids"], of_row=state["of_row"], places=places, rows=rows, hashes=hashes, spans=spans, cuts=cuts)
                 posts = list(_Posts(hashes, rows).rows(bundle, buckets))
                 if posts:
                     yield _frame(posts)
 
-    return run
+    return tidied(run)
 
 
-def _spans(folder: str):
+def _spans(folder: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bundle in batch.column("bundle").to_pylist():
                 state = get_arrays(folder, str(bundle))
-                row, start, end, longest = state["spans"].T
+                row, start, end, longest = state[name].T
                 values = (state["ids"][row], start - state["of_row"][row], end - start, longest)
                 yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in values], names=["doc_id", "start_word", "n_words", "longest"])
 
-    return run
+    return tidied(run)
 
 
-def repeated_passages(docs: DataFrame, base: int = BASE_WORDS, gram: int = GRAM_WORDS, least: int = LEAST_WORDS, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
-    """(doc_id, start_word, n_words, longest) of the passages of at least `least` words that other documents have too.
+_SPANS = "doc_id long, start_word long, n_words long, longest long"
+
 
-    `least` is `base` times a power of 2.  The driver gets one number a level, and the ids of the bundles."""
+def _found(docs: DataFrame, base: int, gram: int, least: int, bundle_bytes: int, bucket_bytes: int, name: str) -> DataFrame:
+    """The passages of (doc_id, text), `spans` or `cuts`."""
     steps = least // base if least % base == 0 else 0
     if not 1 <= gram <= base or steps < 1 or steps & (steps - 1):
         raise ValueError("gram is at most base, and least is base times a power of 2")
     spark = docs.sparkSession
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-size // bucket_bytes))
     root = scratch_path(spark, "passages")
 
-    def answered(posts: DataFrame, level: int) -> int:
-        """Brings the posts to their buckets and the answers back; how many keys repeat, over all bundles."""
-        by_bucket = posts.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-        answers = by_bucket.mapInArrow(_bucket, "bundle long, bucket long, bits binary, n long")
-        by_bundle = answers.repartition(buckets, "bundle").sortWithinPartitions("bundle")
-        return by_bundle.mapInArrow(_answer_writer(f"{root}/answers-{level}"), "n long").agg(F.sum("n")).first()[0] or 0
+    def answered(posts: DataFrame, level: int, tasks: int) -> DataFrame:
+        """Brings the posts to their buckets and the answers back; (bundle, n) of those that have keys that repeat."""
+        by_bucket = posts.repartition(min(buckets, MOST_TASKS), "bucket").sortWithinPartitions("bucket")
+        answers = by_bucket.mapInArrow(_bucket(level == least), "bundle long, bucket long, bits binary, own binary, n long")
+        by_bundle = answers.repartition(tasks, "bundle").sortWithinPartitions("bundle")
+        return saved(by_bundle.mapInArrow(_answer_writer(f"{root}/answers-{level}"), "bundle long, n long"), "bundles")[0]
 
-    some = answered(texts(docs).mapInArrow(_bundler(root, base, gram, buckets, bundle_bytes), _POSTS), 0)
-    ids = names(f"{root}/answers-0") if some else []
-    if not ids:
+    bundles = answered(docs.mapInArrow(_bundler(root, base, gram, buckets, bundle_bytes), _POSTS), 0, min(buckets, MOST_TASKS))
+    count = bundles.count()
+    if not count:
         remove(spark, root)
-        return spark.createDataFrame([], "doc_id long, start_word long, n_words long, longest long")
-    # One task a bundle: its files are its only input.
-    bundles = spark.createDataFrame([(int(i),) for i in ids], "bundle long").repartition(min(len(ids), 4 * buckets), "bundle")
-    bundles, _ = saved(bundles, "bundles")
-    some, length = answered(bundles.mapInArrow(_first_windows(root, base, gram, buckets), _POSTS), base), base
+        return spark.createDataFrame([], _SPANS)
+    # One task a bundle, whose files are its only input, so adaptive planning must not merge them.
+    tasks = min(count, MOST_TASKS)
+    bundles = bundles.repartition(tasks, "bundle")
+    some, length = answered(bundles.mapInArrow(_first_windows(root, base, gram, buckets), _POSTS), base, tasks).agg(F.sum("n")).first()[0], base
     remove(spark, f"{root}/texts")
     while some or length <= least:
-        some = answered(bundles.mapInArrow(_doubled(root, length, least, buckets), _POSTS), 2 * length)
+        some = answered(bundles.mapInArrow(_doubled(root, length, least, buckets), _POSTS), 2 * length, tasks).agg(F.sum("n")).first()[0]
         for done in ("state", "answers"):
             remove(spark, f"{root}/{done}-{length}")
         length *= 2
-    return bundles.mapInArrow(_spans(f"{root}/state-{length}"), "doc_id long, start_word long, n_words long, longest long")
+    return bundles.mapInArrow(_spans(f"{root}/state-{length}", name), _SPANS)
+
+
+def repeated_passages(docs: DataFrame, base: int = BASE_WORDS, gram: int = GRAM_WORDS, least: int = LEAST_WORDS, bundle_bytes: int = BUNDLE_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(doc_id, start_word, n_words, longest) of the passages of at least `least` words that other documents have too.
+
+    `least` is `base` times a power of 2.  Buckets are as many as the text fills; the driver gets a few numbers a level."""
+    return _found(texts(docs), base, gram, least, bundle_bytes, bucket_bytes, "spans")
+
+
+def _cutter(text: str, cuts: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for value, spans in zip(batch.column(text), batch.column(cuts).to_pylist(), strict=True):
+                if not spans:
+                    out.append(value.as_py())
+                    continue
+                data = np.frombuffer(value.as_py().encode(), np.uint8)
+                starts, _, _ = word_spans(data, np.array([0, len(data)]))
+                edges = np.append(starts, len(data))
+                keep = np.ones(len(data), bool)
+                for start, n in spans:
+                    keep[edges[start] : edges[start + n]] = False
+                out.append(data[keep].tobytes().decode())
+            names = [c for c in batch.schema.names if c != cuts]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else batch.column(c) for c in names], names=names)
+
+    return tidied(run)
+
+
+def without_repeats(docs: DataFrame, base: int = BASE_WORDS, gram: int = GRAM_WORDS, least: int = LEAST_WORDS, bundle_bytes: int = BUNDLE_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """`docs`, with all its columns and rows, `text` without the later occurrences of repeated passages."""
+    key, cuts = fresh("_row", docs), fresh("_cuts", docs)
+    rows, _ = saved(docs.withColumn("text", F.col("text").cast("string")).withColumn(key, F.monotonically_increasing_id()), "passage-rows")
+    found = _found(rows.select(F.col(key).alias("doc_id"), "text").where("text IS NOT NULL"), base, gram, least, bundle_bytes, bucket_bytes, "cuts")
+    mine = found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start_word", "n_words")).alias(cuts))
+    schema = rows.drop(key).schema
+    plain = rows.join(mine, key, "left").drop(key).withColumn(cuts, F.transform(cuts, lambda x: F.array(x["start_word"], x["n_words"])))
+    return plain.mapInArrow(_cutter("text", cuts), schema)
