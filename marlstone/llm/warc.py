@@ -14,8 +14,8 @@ into byte ranges that any task can read.
 Defined results: a file that is no WARC has no records; where a chain breaks (a truncated or damaged
 record), the records before the break are kept and what follows is not; an empty file has no records.
 Writing: a null url or html is a header less or an empty block with a mark, and reads as null again; a row
-without page_id is kept with a null one; repeated rows are records each; other columns are ignored; an empty
-table makes no records.
+without page_id is kept with a null one; repeated rows are records each (there are no ties); fields of any
+length are kept whole; other columns are ignored, whatever their names; an empty table makes no records.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ SPLIT_BYTES = 64 << 20
 MOST_TASKS = 100_000
 _PLAIN, _PACKED = re.compile(rb"WARC/1\.[01]\r\n"), re.compile(rb"\x1f\x8b\x08")
 _END = b"\r\n\r\n"
+_QUOTED, _NULL = "X-Page-URI", "X-Page-Block"
 _LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d+)[ \t]*(?=\r\n)", re.IGNORECASE)
 
 
@@ -52,9 +53,12 @@ def _page(page_id, url, html) -> bytes:
     if page_id is not None:
         headers.append(("WARC-Record-ID", f"<urn:page:{page_id}>"))
     if url is not None:
-        headers.append(("WARC-Target-URI", quote(url, safe=":/?#[]@!$&'()*+,;=-._~")))
+        quoted = quote(url, safe=":/?#[]@!$&'()*+,;=-._~")
+        headers.append(("WARC-Target-URI", quoted))
+        if quoted != url:
+            headers.append((_QUOTED, "percent"))
     if html is None:
-        headers.append(("WARC-Truncated", "unspecified"))
+        headers.append((_NULL, "null"))
     return record(headers, b"" if html is None else html.encode())
 
 
@@ -289,17 +293,24 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, urls, htmls = [], [], []
         for header, block in zip(batch.column("header").to_pylist(), batch.column("block"), strict=True):
             fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in header.split("\r\n")[1:])}
-            if fields.get("warc-type") != "resource":
+            kind, body = fields.get("warc-type"), block.as_py()
+            if kind not in ("resource", "response"):
                 continue
+            if kind == "response" and body.startswith(b"HTTP/"):
+                body = body.partition(_END)[2]
             found = re.fullmatch(r"<urn:page:(-?\d+)>", fields.get("warc-record-id", ""))
             ids.append(int(found[1]) if found else None)
-            urls.append(unquote(fields["warc-target-uri"]) if "warc-target-uri" in fields else None)
-            htmls.append(None if "warc-truncated" in fields else block.as_py().decode("utf-8", "replace"))
+            url = fields.get("warc-target-uri")
+            urls.append(unquote(url) if url is not None and _QUOTED.lower() in fields else url)
+            htmls.append(None if _NULL.lower() in fields else body.decode("utf-8", "replace"))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(htmls, pa.string())], names=["page_id", "url", "html"])
 
 
 def read_pages(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """(page_id, url, html) of the pages written by `write_pages`."""
+    """(page_id, url, html) of the resources and responses of WARC files, those of `write_pages` and any others.
+
+    Of a response the HTTP head goes; a truncated record keeps what it has; a URL stays as it is written, but for
+    those that `write_pages` quoted; page_id is null where the record's id is not one that it gave."""
     return read_records(spark, folder, split_bytes).mapInArrow(_parsed, "page_id long, url string, html string")
 
 
