@@ -12,10 +12,11 @@ Tokens are maximal runs of anything but space, tab, newline and carriage return.
 
 Defined results: a source without a weight has `other`; a null source is one of its own, the source ''
 another; a weight of 0 or less takes its documents out; a null or empty text has 0 tokens and takes none
-of the budget, but has its place in the order; a null doc_id counts as -1 in the shuffle; equal times are
-ordered by source and then shuffle order, doc_id and tokens, repeated rows after one another; the order
-ends with the first document that would exceed the budget; an empty table gives an empty one; other
-columns are ignored by `mixed` and kept by `mixture`.
+of the budget, but has its place in the order; a text of any length is counted whole; a null doc_id counts
+as -1 in the shuffle; equal times (ties) are ordered by source and then shuffle order, doc_id and tokens,
+repeated rows after one another, of which as many are taken as fit; the order ends with the first document
+that would exceed the budget, so the rows taken never do; an empty table gives an empty one; other columns,
+whatever their names, are ignored by `mixed` and kept by `mixture`.
 """
 
 from __future__ import annotations
@@ -87,31 +88,39 @@ def _cumulated(rows: DataFrame, order: list[Column], by: str | None, what: str)
     return done.join(ends, same).withColumn("_sum", F.col("_sum") + F.col("_before")).drop("_p", "_by", "_before", "_part")
 
 
-def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, share: float | None = SHARE, budget: int | None = None, seed: str = SEED, other: float = OTHER) -> DataFrame:
-    """(doc_id, source, tokens, finish, position) of the documents taken; `position` is the cumulative tokens.
-
-    `budget` is in tokens; where it is None it is `share` of all tokens of documents with a positive weight."""
+def _taken(docs: DataFrame, weights: Mapping[str | None, float] | None, share: float | None, budget: int | None, seed: str, other: float, key: str | None) -> DataFrame:
+    """The rows taken, with `_key`, that of their row of `docs`; 0 where `key` is None."""
     source = F.col("source").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), token_count(F.col("text").cast("string")).alias("tokens"))
+    mark = F.lit(0).cast("long") if key is None else F.col(key)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), token_count(F.col("text").cast("string")).alias("tokens"), mark.alias("_key"))
     rows = rows.withColumn("shuffle", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("string"))))
     rows = rows.withColumn("_weight", weight_of(F.col("source"), weights or {}, other)).where("_weight > 0")
     rows, _ = saved(rows, "mix-rows")
     if budget is None:
         total = rows.agg(F.sum("tokens")).first()[0] or 0
         budget = int(total * share)
-    ends = [F.col("source"), F.col("shuffle"), F.col("doc_id"), F.col("tokens")]
+    ends = [F.col("source"), F.col("shuffle"), F.col("doc_id"), F.col("tokens"), F.col("_key")]
     timed = _cumulated(rows, ends, "source", "mix-sources").withColumn("finish", F.col("_sum") / F.col("_weight")).drop("_sum")
     placed = _cumulated(timed, [F.col("finish"), *ends], None, "mix-order")
-    return placed.where(F.col("_sum") <= budget).select("doc_id", "source", "tokens", "finish", F.col("_sum").alias("position"))
+    return placed.where(F.col("_sum") <= budget).withColumnRenamed("_sum", "position")
+
+
+def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, share: float | None = SHARE, budget: int | None = None, seed: str = SEED, other: float = OTHER) -> DataFrame:
+    """(doc_id, source, tokens, finish, position) of the documents taken; `position` is the cumulative tokens.
+
+    `budget` is in tokens; where it is None it is `share` of all tokens of documents with a positive weight."""
+    return _taken(docs, weights, share, budget, seed, other, None).select("doc_id", "source", "tokens", "finish", "position")
+
 
+def mixture(docs: DataFrame, weights: Mapping[str | None, float] | None = None, share: float | None = SHARE, budget: int | None = None, seed: str = SEED, other: float = OTHER) -> DataFrame:
+    """The rows that `mixed` takes, with all columns of `docs`, range-sorted by finish time.
 
-def mixture(docs: DataFrame, **parameters) -> DataFrame:
-    """The documents taken, with all columns of `docs`, range-sorted by finish time."""
-    taken = mixed(docs, **parameters)
-    names = [fresh(n, docs) for n in ("_id", "_finish", "_position")]
-    order = taken.groupBy("doc_id").agg(F.min("finish"), F.min("position")).toDF(*names)
-    kept = docs.join(order, docs["doc_id"].cast("long").eqNullSafe(order[names[0]]))
-    return kept.repartitionByRange(*names[1:]).sortWithinPartitions(*names[1:]).drop(*names)
+    Rows are known by a key of their own, written with them, so that of rows that repeat a doc_id only those taken come."""
+    key, finish, position = (fresh(n, docs) for n in ("_row", "_finish", "_position"))
+    rows, _ = saved(docs.withColumn(key, F.monotonically_increasing_id()), "mix-documents")
+    order = _taken(rows, weights, share, budget, seed, other, key).select("_key", "finish", "position").toDF(key, finish, position)
+    kept = rows.join(order, key)
+    return kept.repartitionByRange(finish, position).sortWithinPartitions(finish, position).drop(key, finish, position)
 
 
 def sql(weights: Mapping[str | None, float] | None = None, share: float = SHARE, seed: str = SEED, other: float = OTHER, table: str = "documents") -> str:
