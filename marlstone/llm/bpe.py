@@ -17,25 +17,30 @@ its moves over the bytes of a whole token are made when first taken.  Characters
 complete, so a stream can be decoded token by token; malformed bytes become U+FFFD, as in Python.
 
 Defined results: an empty text has no tokens; a null text has null tokens and counts as 0; any Unicode is
-encoded, special tokens have no meaning in a text; repeated rows are encoded each; a row without doc_id is
-encoded too; columns besides those used are ignored by `encoded` and kept by `tokenized`.
+encoded, special tokens have no meaning in a text; a text of any length is encoded whole, a bounded number of
+bytes at a time; repeated rows are encoded each (there are no ties); a row without doc_id is encoded too; an
+empty table gives an empty one; columns besides those used, whatever their names, are ignored by `encoded` and
+kept by `tokenized`.
 """
 
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import fresh
-from marlstone.llm.textvec import _powers, chunks, mix64, utf8
+from marlstone.llm.common import fresh, tidied
+from marlstone.llm.textvec import PLAIN, chunks, mix64, span_hashes, utf8
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -46,10 +51,14 @@ EMITTED_BYTES = 1 << 21
 _NONE = -1
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
+def read_ranks(raw: bytes) -> dict[bytes, int]:
     """The tokens of a vocabulary file with one base64 token and its rank a line."""
-    with open(path, "rb") as f:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines())}
+
+
+def vocabulary(spark: SparkSession, path: str) -> Broadcast:
+    """The file's bytes, read by the driver and sent to executors, which need not have it: about 1 MB at any size of corpus."""
+    return spark.sparkContext.broadcast(Path(path).read_bytes())
 
 
 class Transducer:
@@ -58,15 +67,17 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.children: list[dict[int, int]] = [{}]
-        self.ends: list[int] = [_NONE]
+        # The trie: the place after a place and a byte, whether a place has any after it, and the token that ends there.
+        self.after: dict[int, int] = {}
+        self.inner, self.ends = bytearray(1), array("i", [_NONE])
         for token, rank in ranks.items():
             at = 0
             for b in token:
-                nxt = self.children[at].get(b)
+                nxt = self.after.get(at << 8 | b)
                 if nxt is None:
-                    nxt = self.children[at][b] = len(self.children)
-                    self.children.append({})
+                    nxt = self.after[at << 8 | b] = len(self.ends)
+                    self.inner[at] = 1
+                    self.inner.append(0)
                     self.ends.append(_NONE)
                 at = nxt
             self.ends[at] = rank
@@ -113,24 +124,24 @@ class Transducer:
         return known
 
     def _step(self, state: int, byte: int) -> int:
-        after = set()
+        moved = set()
         for pending, last, place in self.states[state]:
-            nxt = self.children[place].get(byte)
+            nxt = self.after.get(place << 8 | byte)
             if nxt is None:
                 continue
-            if self.children[nxt]:
-                after.add((pending, last, nxt))
+            if self.inner[nxt]:
+                moved.add((pending, last, nxt))
             token = self.ends[nxt]
             if token != _NONE and self._valid(last, token):
-                after.add(((*pending, token), token, 0))
-        if not after:
+                moved.add(((*pending, token), token, 0))
+        if not moved:
             raise ValueError("the vocabulary lacks a byte of the text")
-        shared = min(len(p) for p, _, _ in after)
-        first = next(iter(after))[0]
-        while shared and any(p[:shared] != first[:shared] for p, _, _ in after):
+        shared = min(len(p) for p, _, _ in moved)
+        first = next(iter(moved))[0]
+        while shared and any(p[:shared] != first[:shared] for p, _, _ in moved):
             shared -= 1
         out = first[:shared]
-        made = tuple(sorted((p[shared:], last, place) for p, last, place in after)) if shared else tuple(sorted(after))
+        made = tuple(sorted((p[shared:], last, place) for p, last, place in moved)) if shared else tuple(sorted(moved))
         number = self.numbers.get(made)
         if number is None:
             number = self.numbers[made] = len(self.states)
@@ -173,7 +184,7 @@ def _kinds() -> np.ndarray:
     """For every code point whether the pattern takes it as a letter, a number, a space or another."""
     if not _KINDS:
         kinds = np.zeros(0x110000, np.uint8)
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        every = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)]).astype("<u4").tobytes().decode("utf-32-le")
         for kind, found in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
             for m in regex.finditer(found, every):
                 a, b = (ord(every[m.start()]), ord(every[m.end() - 1]))
@@ -317,10 +328,7 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         ends = np.append(starts[1:], len(data))
-        up, down = _powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-        keys = mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        keys = mix64(span_hashes(data, PLAIN, starts, ends) + (ends - starts).astype(np.uint64))
         keys[keys == 0] = 1
         number = self._find(keys)
         new = np.flatnonzero(number < 0)
@@ -467,10 +475,10 @@ class Decoder:
         return "".join(parts)
 
 
-@lru_cache(maxsize=2)
-def coder(path: str = VOCABULARY, pattern: str = PATTERN) -> tuple[Encoder, Decoder]:
+@lru_cache(maxsize=1)
+def coder(raw: bytes, pattern: str = PATTERN) -> tuple[Encoder, Decoder]:
     """One encoder and decoder of a vocabulary for each Python worker."""
-    ranks = read_ranks(path)
+    ranks = read_ranks(raw)
     return Encoder(ranks, pattern), Decoder(ranks)
 
 
@@ -491,9 +499,9 @@ def _lists(flat: np.ndarray, ends: np.ndarray, column: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat), mask=mask)
 
 
-def _encoded(path: str, pattern: str, check: bool):
+def _encoded(raw: Broadcast, pattern: str, check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = coder(path, pattern)
+        encoder, decoder = coder(raw.value, pattern)
         for batch in batches:
             column = batch.column("text")
             _, offsets = utf8(column)
@@ -508,18 +516,18 @@ def _encoded(path: str, pattern: str, check: bool):
                     names.append("round_trip")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return run
+    return tidied(run)
 
 
 def encoded(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, check: bool = True) -> DataFrame:
     """(doc_id, n_tokens, tokens) of every row and, with `check`, whether decoding them gives the text again; a narrow pass."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_encoded(path, pattern, check), "doc_id long, n_tokens long, tokens array<int>" + ", round_trip boolean" * check)
+    return rows.mapInArrow(_encoded(vocabulary(docs.sparkSession, path), pattern, check), "doc_id long, n_tokens long, tokens array<int>" + ", round_trip boolean" * check)
 
 
-def _tokenized(path: str, pattern: str, text: str, names: tuple[str, str]):
+def _tokenized(raw: Broadcast, pattern: str, text: str, names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, _ = coder(path, pattern)
+        encoder, _ = coder(raw.value, pattern)
         for batch in batches:
             _, offsets = utf8(batch.column(text))
             for lo, hi in chunks(offsets, EMITTED_BYTES):
@@ -528,7 +536,7 @@ def _tokenized(path: str, pattern: str, text: str, names: tuple[str, str]):
                 flat, ends = encode_column(column, encoder)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(ends)), _lists(flat, ends, column)], names=[*part.schema.names, *names])
 
-    return run
+    return tidied(run)
 
 
 def tokenized(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
@@ -536,19 +544,19 @@ def tokenized(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -
     typed = docs.withColumn("text", F.col("text").cast("string"))
     names = (fresh("n_tokens", typed), fresh("tokens", typed))
     schema = T.StructType([*typed.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(T.IntegerType()))])
-    return typed.mapInArrow(_tokenized(path, pattern, "text", names), schema)
+    return typed.mapInArrow(_tokenized(vocabulary(docs.sparkSession, path), pattern, "text", names), schema)
 
 
-def _decoded(path: str):
+def _decoded(raw: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = coder(path)[1]
+        decoder = coder(raw.value)[1]
         for batch in batches:
             texts = [decoder.decode(t.as_py()) if t.is_valid else None for t in batch.column("tokens")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return run
+    return tidied(run)
 
 
 def decoded(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, text) of a table of (doc_id, tokens): the inverse of `encoded`; null tokens give a null text."""
-    return tokens.select("doc_id", F.col("tokens").cast("array<int>").alias("tokens")).mapInArrow(_decoded(path), "doc_id long, text string")
+    return tokens.select("doc_id", F.col("tokens").cast("array<int>").alias("tokens")).mapInArrow(_decoded(vocabulary(tokens.sparkSession, path)), "doc_id long, text string")
