@@ -18,8 +18,9 @@ as context, so that every id is scored exactly once, many windows in one batch.
 bounded number of windows at a time.
 
 Defined results: a null or empty text has 0 tokens, a `nll` of 0 and a null `mean_nll`; rows without a
-doc_id and repeated rows are scored each; the text of a special token is ordinary text; an empty table
-gives an empty one; other columns are ignored.
+doc_id and repeated rows are scored each, alike; a text of any length is scored whole; ids of equal counts
+(ties) have slots in the order of the ids; the text of a special token is ordinary text; an empty table gives an
+empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,14 +28,16 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.bpe import PATTERN, VOCABULARY, read_ranks
+from marlstone.llm.bpe import PATTERN, VOCABULARY, read_ranks, vocabulary
 from marlstone.llm.common import saved
 from marlstone.llm.textvec import mix64
 
@@ -46,7 +49,7 @@ STRIDE = 32
 FRACTION = 1.0
 ROUNDS = 3
 RATE = 0.01
-STEP_WINDOWS = 32
+STEP_WINDOWS = 128
 BATCH_WINDOWS = 256
 SHARD_WINDOWS = 1 << 14
 SAMPLE_WINDOWS = 1 << 13
@@ -54,14 +57,18 @@ BLOCK = 4096
 NONE = 0xFFFF
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
+def coder_of(raw: bytes) -> tiktoken.Encoding:
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=read_ranks(raw), special_tokens={})
+
+
 def coder(path: str = VOCABULARY) -> tiktoken.Encoding:
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+    return coder_of(Path(path).read_bytes())
 
 
-def _ids(path: str):
+def _ids(raw: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = coder(path).encode_ordinary
+        encode = coder_of(raw.value).encode_ordinary
         for batch in batches:
             packed = [np.array(encode(t.as_py()), np.uint32).tobytes() if t.is_valid else b"" for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "ids"])
@@ -133,14 +140,24 @@ def _causal(shape: Shape) -> np.ndarray:
     return (np.arange(shape.window)[None, :] <= np.arange(context, shape.window)[:, None]).astype(np.float32)
 
 
-def _exponentials(z: np.ndarray, row: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Makes logits their exponentials relative to each row's right one, and returns the sums: at least 1, so their log is the loss.
+def _exponentials(z: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Makes logits their exponentials; returns their sums and the loss of each row's right one.
 
-    A logit counts as at most 80 above the right one: float32 holds no more."""
-    z -= z[row, right][:, None]
-    np.minimum(z, 80, out=z)
+    A logit counts as -80 at least and 80 at most: float32 holds no more, and no text has been seen to reach it."""
+    np.clip(z, -80, 80, out=z)
+    chosen = z[np.arange(len(z)), right]
     np.exp(z, out=z)
-    return z @ np.ones(z.shape[1], np.float32)
+    total = z @ np.ones(z.shape[1], np.float32)
+    return total, np.log(total) - chosen
+
+
+def _scattered(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Adds rows to those of `into` at places that repeat."""
+    at = at.astype(np.uint16)
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    into[at[first]] += np.add.reduceat(rows[order], first, axis=0)
 
 
 def run_model(shape: Shape, p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, gradient: dict[str, np.ndarray] | None = None) -> np.ndarray:
@@ -148,71 +165,80 @@ def run_model(shape: Shape, p: dict[str, np.ndarray], inputs: np.ndarray, target
 
     Inputs (windows, window) are slots of the ids before, `slots` for the start of a text, NONE outside it."""
     context, root = shape.window - shape.stride, np.float32(shape.width**-0.5)
+    flat = lambda m: m.reshape(-1, shape.width)
     there = inputs != NONE
     slots = np.where(there, inputs, 0)
     x = np.take(p["E"], slots, axis=0)
     x += p["P"]
-    xq = x[:, context:]
-    q, k, v = (xq @ p["Q"]) * root, x @ p["K"], x @ p["V"]
+    xq = np.ascontiguousarray(x[:, context:])
+    q = (flat(xq) @ (p["Q"] * root)).reshape(xq.shape)
+    k, v = ((flat(x) @ p[m]).reshape(x.shape) for m in "KV")
     a = q @ k.transpose(0, 2, 1)
-    np.minimum(a, 50, out=a)
+    np.minimum(a, 80, out=a)
     np.exp(a, out=a)
     a *= _causal(shape)
-    if not there.all():
-        a *= there[:, None, :]
+    odd = np.flatnonzero(~there[:, :context].all(axis=1))  # after a text's end there is nothing to score, so only its start is masked
+    a[odd] *= there[odd][:, None, :]
     total = (a @ np.ones(shape.window, np.float32))[:, :, None]
     total[total == 0] = 1
-    out = (a @ v) / total + xq
-    row, col = np.nonzero(targets != NONE)
-    target = targets[row, col]
+    out = a @ v
+    out /= total
+    out += xq
+    scored = targets != NONE
+    every = scored.all()
+    h = flat(out) if every else out[scored]
+    target = (targets.reshape(-1) if every else targets[scored]).astype(np.int64)
     order = np.argsort((target // shape.in_class).astype(np.uint16 if shape.classes > 256 else np.uint8), kind="stable")
-    row, col, target = row[order], col[order], target[order]
-    h = out[row, col]
+    h, target = h[order], target[order]
     group, inner = target // shape.in_class, target % shape.in_class
-    at = np.arange(len(h))
-    z = h @ p["C"].T + p["c"]
-    norm = _exponentials(z, at, group)
-    loss = np.log(norm)
+    z = h @ p["C"].T
+    z += p["c"]
+    norm, loss = _exponentials(z, group)
     dh = None
     if gradient is not None:
         scale = np.float32(1 / max(1, len(h)))
         z *= (scale / norm)[:, None]
-        z[at, group] -= scale
+        z[np.arange(len(h)), group] -= scale
         dh = z @ p["C"]
         gradient["C"] += z.T @ h
         gradient["c"] += z.sum(axis=0)
     edges = np.searchsorted(group, np.arange(shape.classes + 1))
     for g in np.flatnonzero(np.diff(edges)):
         s = slice(edges[g], edges[g + 1])
-        y = h[s] @ p["D"][g].T + p["d"][g]
-        mine, here = inner[s], at[: edges[g + 1] - edges[g]]
-        norm = _exponentials(y, here, mine)
-        loss[s] += np.log(norm)
+        y = h[s] @ p["D"][g].T
+        y += p["d"][g]
+        norm, more = _exponentials(y, inner[s])
+        loss[s] += more
         if gradient is not None:
             y *= (scale / norm)[:, None]
-            y[here, mine] -= scale
+            y[np.arange(len(y)), inner[s]] -= scale
             dh[s] += y @ p["D"][g]
             gradient["D"][g] += y.T @ h[s]
             gradient["d"][g] += y.sum(axis=0)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
     losses = np.zeros(targets.shape, np.float32)
-    losses[row, col] = loss
+    losses[scored] = loss[back]
     if gradient is not None:
         dout = np.zeros_like(out)
-        dout[row, col] = dh
+        dout[scored] = dh[back]
         a /= total
         dv = a.transpose(0, 2, 1) @ dout
         da = dout @ v.transpose(0, 2, 1)
-        da = a * (da - (da * a).sum(axis=2, keepdims=True))
-        dq, dk = (da @ k) * root, da.transpose(0, 2, 1) @ q
-        flat = lambda m: m.reshape(-1, shape.width)
+        da -= (da * a) @ np.ones((shape.window, 1), np.float32)
+        da *= a
+        dq, dk = da @ k, da.transpose(0, 2, 1) @ q
+        dq *= root
         gradient["Q"] += flat(xq).T @ flat(dq)
         gradient["K"] += flat(x).T @ flat(dk)
         gradient["V"] += flat(x).T @ flat(dv)
-        dx = dk @ p["K"].T + dv @ p["V"].T
-        dx[:, context:] += dout + dq @ p["Q"].T
-        dx *= there[:, :, None]
+        dx = (flat(dk) @ p["K"].T + flat(dv) @ p["V"].T).reshape(x.shape)
+        dx[:, context:] += dout
+        dx[:, context:] += (flat(dq) @ p["Q"].T).reshape(dq.shape)
+        if not there.all():
+            dx *= there[:, :, None]
         gradient["P"] += dx.sum(axis=0)
-        np.add.at(gradient["E"], slots.reshape(-1), flat(dx))
+        _scattered(gradient["E"], slots.reshape(-1), flat(dx))
     return losses
 
 
@@ -368,7 +394,7 @@ def _scorer(shape: Shape, vector: np.ndarray):
 def scores(docs: DataFrame, path: str = VOCABULARY, fraction: float = FRACTION, rounds: int = ROUNDS, **shape_of: int) -> DataFrame:
     """(doc_id, n_tokens, nll, mean_nll) of every row, in nats; the counts that the driver gets are bounded by the vocabulary."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids, _ = saved(rows.mapInArrow(_ids(path), "doc_id long, ids binary"), "lm-ids")
+    ids, _ = saved(rows.mapInArrow(_ids(vocabulary(docs.sparkSession, path)), "doc_id long, ids binary"), "lm-ids")
     counts = ids.mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     shape = Shape({r["id"]: r["n"] for r in counts}, coder(path).n_vocab, **shape_of)
     vector = fit(ids, shape, fraction, rounds)
