@@ -6,8 +6,10 @@ sketches, and the share of a small document's sketch found in a large one's esti
 without bias, however unequal the two are.
 
 Defined results: a null or empty text, or one without words, has a sketch of no hashes and 0 shingles;
-a text of fewer than `shingle` words has one shingle of all its words; a row without doc_id keeps its
-null id; repeated rows are sketched each; columns other than doc_id and text are ignored.
+a text of fewer than `shingle` words has one shingle of all its words; a text of any length is sketched by all
+its shingles; equal shingles (ties) are one hash; a row without doc_id keeps its null id; repeated rows are
+sketched each; an empty table gives an empty one; columns other than doc_id and text are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -14,42 +14,52 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents.  Null, empty and wordless texts and null ids are in none; ties link; see minhash."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents rejected as toxic, with scores.  Null and empty texts never are, nor ties; repeated rows are judged alike; see toxicity."""
     return toxicity.toxic(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model's loss on every document.  Null and empty texts have 0 tokens and a null mean; repeated rows are scored each; see lm."""
     return lm.scores(_table(spark, sf_dir, "documents"))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and whether they decode to it.  A null text has null tokens, an empty one none; see bpe."""
     return bpe.encoded(_table(spark, sf_dir, "documents"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written as WARC files and read back.  Nulls, empty and long fields and repeated rows come back as they were; see warc."""
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without repeated lines.  Null and empty texts stay as they are, repeated rows are documents each; see linededup."""
     return linededup.line_report(_table(spark, sf_dir, "documents"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the weighted mixture of all sources.  Null sources are one of their own, ties are ordered; see mixing."""
     return mixing.mixed(_table(spark, sf_dir, "documents"), WEIGHTS)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All passages of 50 words or more that documents share.  Null, empty and short texts and null ids have none; see substrings."""
     return substrings.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all vectors.  Null, empty, zero and non-finite vectors and null ids are in none; ties link; see lattice."""
     return lattice.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sketch of every document.  Null and empty texts have an empty one, repeated rows are sketched each; see fingerprints."""
     return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
 
 

@@ -19,7 +19,7 @@ def test_stages(spark, tmp_path):
         seen[name] = (docs.collect(), spark.read.parquet(f"{tmp_path}/{i}").collect())
         docs = spark.read.parquet(f"{tmp_path}/{i}")
     before, after = seen["minhash near-dedup"]
-    gone = {d for d, _ in groups_by_brute_force([(r.doc_id, r.text) for r in before])}
+    gone = {d for d, first in groups_by_brute_force([(r.doc_id, r.text) for r in before]) if d != first}
     assert {r.doc_id for r in after} == {r.doc_id for r in before} - gone
     before, after = seen["line dedup"]
     assert {r.doc_id for r in before} == {r.doc_id for r in after}
