@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MANY = 10**9
@@ -63,12 +65,19 @@ def least_cover(edges: list[tuple[str, str]], entry: str = "entry", exit_: str =
 
 
 def path_cover(edges: DataFrame, key: str) -> DataFrame:
-    """(key, paths) of (key, u, v): the least number of walks that cover each group's graph."""
+    """(key, paths) of (key, u, v): the least number of walks that cover each group's graph.
 
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({key: [frame[key].iloc[0]], "paths": [least_cover(list(zip(frame["u"], frame["v"], strict=True)))]})
+    Graphs recur, so each distinct one is solved once, many in a batch."""
+    graphs = edges.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("u", "v"))).alias("edges"))
 
-    return edges.select(key, "u", "v").groupBy(key).applyInPandas(solve, f"{key} {dict(edges.dtypes)[key]}, paths long")
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = [least_cover([(e["u"], e["v"]) for e in g]) for g in batch.column("edges").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(paths, pa.int64())], names=["h", "paths"])
+
+    named = graphs.select(key, F.sha2(F.to_json("edges"), 256).alias("h"), "edges")
+    distinct = named.groupBy("h").agg(F.first("edges").alias("edges"))
+    return named.select(key, "h").join(distinct.mapInArrow(solve, "h string, paths long"), "h").select(key, "paths")
 
 
 class Replay:
@@ -101,11 +110,12 @@ EVENT = ["ord", "kind", "content", "old", "new", "replace_all"]
 def edit_replay(events: DataFrame, key: str) -> DataFrame:
     """(key, writes, applied, divergences, unanchored, verified, spans, final) of (key, ord, kind, content, old, new, replace_all).
 
-    A span between two writes is verified if its edits turn the first into the second."""
+    A span between two writes is verified if its edits turn the first into the second.  Equal events (without replace_all) are
+    one, the first by `seq` where there is such a column; those of one `ord` are applied in its order."""
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         state, span, spans, verified = Replay(), None, 0, 0
-        for row in frame.sort_values("ord").itertuples():
+        for row in frame.sort_values(["ord", "seq"], kind="stable").itertuples():
             if row.kind == "write" and span is not None:
                 spans += 1
                 verified += not span.divergences and span.current == (row.content or "")
@@ -117,12 +127,14 @@ def edit_replay(events: DataFrame, key: str) -> DataFrame:
         return pd.DataFrame([[frame[key].iloc[0], *state.tally, verified, spans, state.current]], columns=[key, "writes", "applied", "divergences", "unanchored", "verified", "spans", "final"])
 
     schema = f"{key} {dict(events.dtypes)[key]}, writes long, applied long, divergences long, unanchored long, verified long, spans long, final string"
-    return events.select(key, *EVENT).dropDuplicates([key, "ord", "kind", "content", "old", "new"]).groupBy(key).applyInPandas(fold, schema)
+    seq = F.col("seq") if "seq" in events.columns else F.lit(0)
+    first = events.select(key, *EVENT, seq.alias("seq")).groupBy(key, "ord", "kind", "content", "old", "new").agg(F.min(F.struct("seq", "replace_all")).alias("f"))
+    place = F.dense_rank().over(Window.partitionBy(key).orderBy("f.seq")) if "seq" in events.columns else F.lit(0)
+    rows = first.select(key, "ord", "kind", "content", "old", "new", F.col("f.replace_all").alias("replace_all"), place.cast("long").alias("seq"))
+    return rows.groupBy(key).applyInPandas(fold, schema)
 
 
 def anchor_spans(events: DataFrame, key: str) -> DataFrame:
     """(key, span, edits): the events after each write up to the next, span 0 before the first."""
-    from pyspark.sql import Window
-
     number = F.sum((F.col("kind") == "write").cast("long")).over(Window.partitionBy(key).orderBy("ord"))
     return events.withColumn("span", number).groupBy(key, "span").agg(F.count_if(F.col("kind") != "write").alias("edits"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.shared import written
+
 
 def unreferenced(definitions: DataFrame, uses: DataFrame, on: str) -> DataFrame:
     """Definitions that nothing uses."""
@@ -55,9 +57,134 @@ def ratchet(now: DataFrame, baseline: DataFrame, key: str) -> DataFrame:
     return now.join(baseline, key, "left_anti").select(key, F.lit("new").alias("verdict")).unionByName(baseline.join(now, key, "left_anti").select(key, F.lit("gone").alias("verdict")))
 
 
-def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node) reached from `roots` (node) over `edges` (u, v); semi-naive recursion inside one plan."""
-    edges.createOrReplaceTempView("_reach_edges")
-    roots.createOrReplaceTempView("_reach_roots")
-    found = edges.sparkSession.sql(f"WITH RECURSIVE r(node, depth) AS (SELECT node, 0 FROM _reach_roots UNION ALL SELECT e.v, depth + 1 FROM r JOIN _reach_edges e ON e.u = r.node WHERE depth < {int(rounds)}) SELECT DISTINCT node FROM r")
-    return found
+HOPS = 4
+
+
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node) reached from `roots` (node) over `edges` (u, v), however long the way.
+
+    Each round takes HOPS steps from the nodes that the last one found, and is written; it ends when none is new, so cycles
+    and many ways to a node cost nothing more, and a lost executor costs one round."""
+    edges = written(edges.select("u", "v").distinct(), "reach-edges")
+    front = written(roots.select("node").distinct(), "reached")
+    known, parts = front, 1
+    while front.limit(1).count():
+        step = ahead = front
+        for _ in range(HOPS):
+            step = step.join(edges, step["node"] == edges["u"]).select(F.col("v").alias("node")).distinct()
+            ahead = ahead.union(step)
+        front = written(ahead.distinct().join(known, "node", "left_anti"), "reached")
+        known, parts = known.union(front), parts + 1
+        if parts > 8:  # so that a long way doesn't make a long plan
+            known, parts = written(known, "reached"), 1
+    return known
+
+
+def used(definitions: DataFrame, uses: DataFrame) -> DataFrame:
+    """Definitions (path, name, start, end, …) named by a use (path, name, at) that isn't inside them.
+
+    A name in its own definition, its recursion included, doesn't keep it alive."""
+    sites = uses.select(F.col("path").alias("_site"), F.col("name").alias("_name"), F.col("at").alias("_at"))
+    own = (F.col("_site") == F.col("path")) & (F.col("start") <= F.col("_at")) & (F.col("_at") < F.col("end"))
+    return definitions.join(sites, (F.col("name") == F.col("_name")) & ~own, "left_semi")
+
+
+def soft_reference(names: DataFrame, words: DataFrame, buckets: list[str]) -> DataFrame:
+    """`names` (name, …) with `found_in`: the first of the buckets whose `words` (bucket, word) have the name; NULL if none."""
+    rank = F.array_position(F.array(*map(F.lit, buckets)), F.col("bucket"))
+    first = words.where(rank > 0).groupBy(F.col("word").alias("name")).agg(F.min_by("bucket", rank).alias("found_in"))
+    return names.join(first, "name", "left")
+
+
+def islands(modules: DataFrame, uses: DataFrame) -> DataFrame:
+    """Modules (path, stem) whose stem no other module's uses (path, name) name; those of packages and entries never are."""
+    others = uses.select(F.col("path").alias("_site"), F.col("name").alias("_name"))
+    free = modules.where(~F.col("stem").isin("__init__", "__main__"))
+    return free.join(others, (F.col("stem") == F.col("_name")) & (F.col("path") != F.col("_site")), "left_anti")
+
+
+def enclosing(nodes: DataFrame, kind: str) -> DataFrame:
+    """(path, id, ancestor): the nearest node of a kind around each node of (path, id, kind, start, end); NULL if none.
+
+    Spans of a tree nest, so the nearest is the shortest that holds it."""
+    outer = nodes.where(F.col("kind") == kind).select("path", F.col("id").alias("ancestor"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    held = (F.col("_s") <= F.col("start")) & (F.col("end") <= F.col("_e")) & (F.col("ancestor") != F.col("id"))
+    joined = nodes.alias("n").join(outer.alias("o"), (F.col("n.path") == F.col("o.path")) & held, "left")
+    return joined.groupBy(F.col("n.path").alias("path"), F.col("n.id").alias("id")).agg(F.min_by("ancestor", F.col("_e") - F.col("_s")).alias("ancestor"))
+
+
+def census(declared: DataFrame, visited: DataFrame, judged: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(kind, declared, visited, judged, visited_share, judged_share) for every kind, zeros where nothing is declared.
+
+    Sites are (path, kind, owner, name); a share of nothing is NULL."""
+    key = ["path", "kind", "owner", "name"]
+    seen, told = visited.select(*key).distinct().withColumn("_v", F.lit(1)), judged.select(*key).distinct().withColumn("_j", F.lit(1))
+    sites = declared.select(*key).distinct().join(seen, key, "left").join(told, key, "left")
+    counted = sites.groupBy("kind").agg(F.count("*").alias("d"), F.count("_v").alias("v"), F.count("_j").alias("j"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    share = lambda c: F.round(F.try_divide(F.col(c), F.col("d")), 6)
+    joined = kinds.select("kind").join(counted, "kind", "left")
+    return joined.select("kind", zero("d").alias("declared"), zero("v").alias("visited"), zero("j").alias("judged"), share("v").alias("visited_share"), share("j").alias("judged_share"))
+
+
+def unbounded_references(references: DataFrame, bounded: DataFrame) -> DataFrame:
+    """References (path, func, state) to state that isn't bounded (path, state) in their file."""
+    return references.join(bounded.select("path", "state").distinct(), ["path", "state"], "left_anti")
+
+
+def modelled(surface: DataFrame, models: DataFrame) -> DataFrame:
+    """(path, model): in-file if a model's path is the surface's own, elsewhere if a model's words name its stem, else unmodelled.
+
+    Both are equi-joins, the second on the words of models, instead of a search of every text for every stem."""
+    own = models.select(F.col("path")).distinct().withColumn("_own", F.lit(True))
+    words = models.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), 0)).alias("stem")).distinct().withColumn("_named", F.lit(True))
+    joined = surface.select("path", "stem").distinct().join(own, "path", "left").join(words, "stem", "left")
+    return joined.select("path", F.when(F.col("_own"), "in-file").when(F.col("_named"), "elsewhere").otherwise("unmodelled").alias("model"))
+
+
+def confirmed(races: DataFrame, surface: DataFrame) -> DataFrame:
+    """Races (id, file, …) in a file of the surface (file): one path ends in the other, in either direction.
+
+    All endings of both are keys, so that this is two equi-joins and no comparison of every pair."""
+    def endings(rows: DataFrame, keep: list[str]) -> DataFrame:
+        n = F.length("file")
+        return rows.select(*keep, F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col("file"), i, n))).alias("_end"))
+
+    mine, theirs = races.select("id", "file").distinct(), surface.select("file").distinct()
+    longer = endings(mine, ["id"]).join(theirs.select(F.col("file").alias("_end")), "_end", "left_semi").select("id")
+    shorter = mine.join(endings(theirs, []).select(F.col("_end").alias("file")).distinct(), "file", "left_semi").select("id")
+    return races.join(longer.union(shorter).distinct(), "id", "left_semi")
+
+
+def evidenced(facets: DataFrame, evidence: DataFrame) -> DataFrame:
+    """`facets` (func, facet, name, place) with `shown`: whether a test gives the facet's name or, unnamed, its place.
+
+    Two equi-joins, for a join on either would compare all pairs."""
+    by_name = evidence.where("name IS NOT NULL").select("func", "facet", "name").distinct().withColumn("_n", F.lit(True))
+    by_place = evidence.where("name IS NULL AND place IS NOT NULL").select("func", "facet", "place").distinct().withColumn("_p", F.lit(True))
+    joined = facets.join(by_name, ["func", "facet", "name"], "left").join(by_place, ["func", "facet", "place"], "left")
+    return joined.select(*facets.columns, (F.coalesce("_n", F.lit(False)) | F.coalesce("_p", F.lit(False))).alias("shown"))
+
+
+def allowed(findings: DataFrame, notes: DataFrame, reach: int = 3) -> DataFrame:
+    """`findings` (path, clause, line, …) with `reason`: that of the nearest note (path, clause, line, reason) of the clause on
+    the line or at most `reach` lines above; a note without a reason allows nothing.
+
+    A note is put on each line that it reaches, so that this is an equi-join."""
+    given = notes.where("trim(reason) <> ''").withColumn("_off", F.explode(F.sequence(F.lit(0), F.lit(reach))))
+    placed = given.groupBy("path", "clause", (F.col("line") + F.col("_off")).alias("line")).agg(F.min_by("reason", F.struct("_off", "reason")).alias("reason"))
+    return findings.join(placed, ["path", "clause", "line"], "left")
+
+
+def siblings_called(calls: DataFrame, functions: DataFrame) -> DataFrame:
+    """(path, func, callee): calls (path, func, callee) of other functions (path, func) of the same module, once each."""
+    local = functions.select("path", F.col("func").alias("callee"))
+    return calls.where("func <> callee").select("path", "func", "callee").distinct().join(local, ["path", "callee"], "left_semi").select("path", "func", "callee")
+
+
+def code_sets(left: DataFrame, right: DataFrame, measured: str) -> DataFrame:
+    """(code, status): shared, missing on a side, or in both but unmeasured in one, of two panels (code, value)."""
+    a = left.select("code", F.col(measured).isNotNull().alias("_a"))
+    b = right.select("code", F.col(measured).isNotNull().alias("_b"))
+    status = F.when(F.col("_a").isNull(), "missing left").when(F.col("_b").isNull(), "missing right").when(F.col("_a") & F.col("_b"), "shared").otherwise("unmeasured")
+    return a.join(b, "code", "full_outer").select("code", status.alias("status"))

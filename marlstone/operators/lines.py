@@ -7,13 +7,25 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.bands import band_of, guarded
 
-ABSOLUTE = r"(^|[^A-Za-z0-9._/-])(/(?:home|Users|usr|etc|var|opt|tmp|root|mnt)/[A-Za-z0-9._-]+|[A-Z]:\\[A-Za-z0-9._-]{2,})"
+#: A path from a user's or machine's root, not inside a longer path, name or URL, or from a drive letter.
+ABSOLUTE = r"(^|[^A-Za-z0-9._/:~-])(/(?:home|Users|root|tmp|opt|mnt|private|media)/[A-Za-z0-9._/-]+|[A-Za-z]:\\[A-Za-z0-9._\\-]{2,})"
 SECRETS = {
-    "cloud_key": r"(AKIA[0-9A-Z]{16})",
+    "cloud_key": r"\b((?:AKIA|ASIA)[0-9A-Z]{16})\b",
+    "source_host_token": r"\b(gh[pousr]_[A-Za-z0-9]{36,})\b",
+    "chat_token": r"\b(xox[abprs]-[A-Za-z0-9-]{10,})\b",
+    "payment_key": r"\b([rs]k_live_[A-Za-z0-9]{16,})\b",
+    "maps_key": r"\b(AIza[A-Za-z0-9_-]{35})\b",
+    "web_token": r"\b(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})",
     "private_key": r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)",
     "assignment": r"(?i)(?:password|passwd|api_key|apikey|secret|token)[ ]*[=:][ ]*[\"']([A-Za-z0-9_./+=-]{12,200})[\"']",
-    "connection": r"[a-z]{2,20}://[A-Za-z0-9_]{1,64}:([^@ /]{3,100})@",
+    "connection": r"://[A-Za-z0-9_]{1,64}:([^@ /]{3,100})@",
 }
+#: What a text must have for a rule to be able to match: a search for words is far cheaper than the rule.
+HINTS = {
+    "cloud_key": ["AKIA", "ASIA"], "source_host_token": ["gh"], "chat_token": ["xox"], "payment_key": ["k_live_"], "maps_key": ["AIza"], "web_token": ["eyJ"],
+    "private_key": ["PRIVATE KEY-----"], "assignment": ["'", '"'], "connection": ["://"],
+}
+ENTROPY = 3.0
 
 
 def lines(files: DataFrame, key: str, text: str) -> DataFrame:
@@ -42,14 +54,44 @@ def absolute_paths(files: DataFrame, key: str, text: str) -> DataFrame:
     return found.groupBy(key, "path").agg(F.count("*").alias("n"))
 
 
+def entropy(text: Column) -> Column:
+    """Bits a character, by the shares of the distinct ones."""
+    letters = F.split(text, "")
+    n = F.length(text)
+    share = lambda c: F.size(F.filter(letters, lambda x: x == c)) / n
+    return F.aggregate(F.array_distinct(letters), F.lit(0.0), lambda a, c: a - F.when(c == "", 0.0).otherwise(share(c) * F.log2(share(c))))
+
+
 def secrets(files: DataFrame, key: str, text: str) -> DataFrame:
-    """(rule, secrets, files): distinct credential-shaped strings by rule; placeholders and references to the environment don't count."""
-    rules = F.array(*(F.struct(F.lit(n).alias("rule"), F.regexp_extract_all(F.col(text), F.lit(r), 1).alias("found")) for n, r in SECRETS.items()))
-    found = files.select(key, F.explode(rules).alias("r")).select(key, "r.rule", F.explode("r.found").alias("secret"))
-    found = found.where(~F.lower("secret").rlike(r"(example|changeme|placeholder|your[_-]|xxxx|<|\$\{)"))
+    """(rule, secrets, files): distinct credential-shaped strings by rule; placeholders and references to the environment don't
+    count, nor assigned values of too little entropy to be one."""
+    def found_by(name: str, rule: str) -> Column:
+        hint = F.lit(False)
+        for word in HINTS[name]:
+            hint = hint | F.col(text).contains(word)
+        return F.struct(F.lit(name).alias("rule"), F.when(hint, F.regexp_extract_all(F.col(text), F.lit(rule), 1)).alias("found"))
+
+    rules = F.array(*(found_by(n, r) for n, r in SECRETS.items()))
+    found = files.select(key, F.explode(rules).alias("r")).where("size(r.found) > 0").select(key, "r.rule", F.explode("r.found").alias("secret"))
+    found = found.where(~F.lower("secret").rlike(r"(example|changeme|placeholder|your[_-]|xxxx|<|\$\{|environ|getenv)"))
+    found = found.where((F.col("rule") != "assignment") | (entropy(F.col("secret")) >= ENTROPY))
     return found.groupBy("rule").agg(F.countDistinct("secret").alias("secrets"), F.countDistinct(key).alias("files"))
 
 
+def secret_bands(found: DataFrame, files: DataFrame, by: list[str]) -> DataFrame:
+    """(by…, secrets, band) of secrets (by…, secret) over files (by…): none, one or two, more; n/a of no files."""
+    n = found.groupBy(*by).agg(F.count_distinct("secret").alias("secrets"))
+    joined = files.groupBy(*by).agg(F.count("*").alias("_files")).join(n, by, "left").withColumn("secrets", F.coalesce("secrets", F.lit(0)))
+    band = F.when(F.col("_files") == 0, "n/a").when(F.col("secrets") == 0, "Healthy").when(F.col("secrets") <= 2, "Not Healthy").otherwise("Slop")
+    return joined.select(*by, "secrets", band.alias("band"))
+
+
+def path_band(files: DataFrame, key: str, text: str) -> DataFrame:
+    """(files, found, band): any absolute path is Slop; n/a of no files."""
+    n = files.agg(F.count("*").alias("files")).crossJoin(absolute_paths(files, key, text).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("found")))  # one row each
+    return n.select("files", "found", F.when(F.col("files") == 0, "n/a").when(F.col("found") > 0, "Slop").otherwise("Healthy").alias("band"))
+
+
 def clone_ratio(tokens: DataFrame, size: int) -> DataFrame:
     """(lines, duplicated, value, band) of (path, pos, symbol, line): lines in a window of `size` tokens that starts at two places.
 

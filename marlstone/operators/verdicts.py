@@ -33,9 +33,18 @@ def silence_summary(findings: DataFrame, reasons: DataFrame, silent: Column) ->
 
 def determinism(runs: DataFrame, key: str) -> DataFrame:
     """(key, passed, runs, tally, band) of (key, run, failed)."""
-    n = runs.groupBy(key).agg(F.count_if(~F.col("failed")).alias("passed"), F.count("*").alias("runs"))
-    band = F.when(F.col("passed") == F.col("runs"), "Healthy").when(F.col("passed") == F.col("runs") - 1, "Not Healthy").otherwise("Slop")
-    return n.select(key, "passed", "runs", F.concat_ws("/", F.col("passed").cast("string"), F.col("runs").cast("string")).alias("tally"), band.alias("band"))
+    return run_tally(runs.select(key, "run", F.when(F.col("failed"), 1).otherwise(0).alias("code"), F.lit(True).alias("ran")), key).drop("reason")
+
+
+def run_tally(runs: DataFrame, key: str) -> DataFrame:
+    """(key, passed, runs, tally, band, reason) of (key, run, code, ran), in the order of `run`.
+
+    A timeout (code 124) or a run without tests refuses the whole, by the first one that is either."""
+    first = F.min_by(F.when(F.col("code") == 124, "timed out").otherwise("did not run"), F.when((F.col("code") == 124) | ~F.col("ran"), F.col("run")))
+    n = runs.groupBy(key).agg(F.count_if(F.col("code") == 0).alias("passed"), F.count("*").alias("runs"), F.when(F.bool_or((F.col("code") == 124) | ~F.col("ran")), first).alias("reason"))
+    band = F.when(F.col("reason").isNotNull(), "n/a").when(F.col("passed") == F.col("runs"), "Healthy").when(F.col("passed") == F.col("runs") - 1, "Not Healthy").otherwise("Slop")
+    said = F.when(F.col("reason").isNotNull(), "n/a").otherwise(F.concat_ws("/", F.col("passed").cast("string"), F.col("runs").cast("string")))
+    return n.select(key, "passed", "runs", said.alias("tally"), band.alias("band"), "reason")
 
 
 def slop_signals(panel: DataFrame, by: list[str]) -> DataFrame:
@@ -61,6 +70,22 @@ def grade(states: DataFrame, scores: DataFrame, by: list[str]) -> DataFrame:
     return j.select(*by, "silence", "score", g.alias("grade"))
 
 
+def graded(summary: DataFrame, bound: int | None = None) -> DataFrame:
+    """`summary` (neutral, promiscuous, unresolved, meter_ran, declared, visited, admitted, widest, score) with basis, status, grade.
+
+    Basis: no-source, unread (declarations, none of them visited and none admitted), a promiscuous proof, silent beyond the
+    floor, or measured.  Status: na, cannot (F), coarse (D: an unordered partition wider than `bound`), can (A, B or C)."""
+    total = F.col("neutral") + F.col("promiscuous") + F.col("unresolved")
+    silence = F.coalesce(F.try_divide(F.col("unresolved"), total), F.lit(0.0))
+    unread = (F.col("declared") > 0) & (F.col("visited") == 0) & (F.col("admitted") == 0)
+    basis = F.when(~F.col("meter_ran"), "no-source").when(F.coalesce(unread, F.lit(False)), "unread").when(F.col("promiscuous") > 0, "measured").when(silence > SILENCE_FLOOR, "silent").otherwise("measured")
+    wide = F.lit(False) if bound is None else F.coalesce(F.col("widest") > bound, F.lit(False))
+    status = F.when(basis != "measured", "na").when(F.col("promiscuous") > 0, "cannot").when(wide, "coarse").otherwise("can")
+    letter = F.when(F.col("score").isNull() | (F.col("score") >= 0.85), "A").when(F.col("score") >= 0.6, "B").otherwise("C")
+    grade_ = F.when(status == "cannot", "F").when(status == "coarse", "D").when(status == "can", letter)
+    return summary.withColumns({"silence": F.round(silence, 6), "basis": basis, "status": status, "grade": grade_})
+
+
 def allowances(units: DataFrame, key: str, order: list[str], cap: float, ceiling: float) -> DataFrame:
     """`units` with `allowance`: at most `cap` each while the key's `ceiling` lasts, in order."""
     spent = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
@@ -72,3 +97,25 @@ def properties(calls: DataFrame, key: str, signature: list[str], result: str) ->
     per = calls.groupBy(key, *signature).agg(F.count("*").alias("n"), F.count_distinct(result).alias("results")).where("n > 1")
     judged = per.groupBy(key).agg(F.count("*").alias("repeated"), F.count_if(F.col("results") > 1).alias("broken"))
     return judged.select(key, "repeated", "broken", F.when(F.col("broken") == 0, "holds").otherwise("broken").alias("verdict"))
+
+
+def observed(calls: DataFrame, key: str) -> DataFrame:
+    """(key, mutation, purity, determinism, idempotency), each holds, breaks, unobserved or unverified, of calls
+    (key, ord, before, after, result, raised, opaque, state_before, state_after): texts, of which `before` is all that was passed.
+
+    One change breaks the first two.  Determinism needs a signature twice; idempotency a call of what an earlier one returned."""
+    readable = ~F.col("opaque")
+    stated = F.col("state_before").isNotNull() & F.col("state_after").isNotNull()
+    some = calls.groupBy(key).agg(
+        F.bool_or(readable).alias("_r"), F.bool_or(readable & (F.col("before") != F.col("after"))).alias("_m"),
+        F.bool_or(stated).alias("_s"), F.bool_or(stated & (F.col("state_before") != F.col("state_after"))).alias("_p"),
+    )
+    told = calls.where(readable & ~F.col("raised"))
+    same = told.groupBy(key, "before").agg(F.count("*").alias("n"), F.count_distinct("result").alias("d")).where("n > 1").groupBy(key).agg((F.max("d") == 1).alias("_d"))
+    earliest = told.groupBy(key, F.col("result").alias("before")).agg(F.min("ord").alias("_first"))
+    again = told.join(earliest, [key, "before"]).where("ord > _first").groupBy(key).agg(F.bool_and(F.col("result") == F.col("before")).alias("_i"))
+    j = some.join(same, key, "left").join(again, key, "left")
+    shown = lambda c: F.when(~F.col("_r"), "unverified").when(F.col(c).isNull(), "unobserved").when(F.col(c), "holds").otherwise("breaks")
+    mutation = F.when(~F.col("_r"), "unverified").when(F.col("_m"), "breaks").otherwise("holds")
+    purity = F.when(~F.col("_s"), "unverified").when(F.col("_p"), "breaks").otherwise("holds")
+    return j.select(key, mutation.alias("mutation"), purity.alias("purity"), shown("_d").alias("determinism"), shown("_i").alias("idempotency"))
