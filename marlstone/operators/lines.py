@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.bands import band_of, guarded
+from marlstone.shared import written
+
+KEPT_WORDS = 1 << 18
 
 #: A path from a user's or machine's root, not inside a longer path, name or URL, or from a drive letter.
 ABSOLUTE = r"(^|[^A-Za-z0-9._/:~-])(/(?:home|Users|root|tmp|opt|mnt|private|media)/[A-Za-z0-9._/-]+|[A-Za-z]:\\[A-Za-z0-9._\\-]{2,})"
@@ -92,22 +101,55 @@ def path_band(files: DataFrame, key: str, text: str) -> DataFrame:
     return n.select("files", "found", F.when(F.col("files") == 0, "n/a").when(F.col("found") > 0, "Slop").otherwise("Healthy").alias("band"))
 
 
-def clone_ratio(tokens: DataFrame, size: int) -> DataFrame:
-    """(lines, duplicated, value, band) of (path, pos, symbol, line): lines in a window of `size` tokens that starts at two places.
-
-    Windows are hashed before the shuffle, and only those of two places are joined back."""
-    w = Window.partitionBy("path").orderBy("pos").rowsBetween(0, size - 1)
-    windows = tokens.withColumn("s", F.collect_list("symbol").over(w)).withColumn("ls", F.collect_list("line").over(w)).where(F.size("s") == size)
-    windows = windows.select("path", F.col("line").alias("first"), F.sha2(F.concat_ws("\0", "s"), 256).alias("h"), F.array_distinct("ls").alias("ls"))
-    twice = windows.groupBy("h").agg(F.count_distinct("path", "first").alias("places")).where("places > 1").select("h")
-    marked = windows.join(twice, "h", "left_semi").select("path", F.explode("ls").alias("line")).distinct().agg(F.count("*").alias("duplicated"))
-    total = tokens.agg(F.count_distinct("path", "line").alias("lines"))
+def _windows(size: int):
+    """(hash, path, first, last) of every window of words, by the numbers of its first and last lines among those with words."""
+    keys: dict[str, int] = {}
+    base, inverse = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+    def powers(of: np.uint64, n: int) -> np.ndarray:
+        steps = np.full(n, of, np.uint64)
+        steps[:1] = 1
+        return np.multiply.accumulate(steps)
+
+    def key(word: str) -> int:
+        found = keys.get(word)
+        if found is None:
+            if len(keys) > KEPT_WORDS:
+                keys.clear()
+            found = keys[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                held, line, n = [], [], 0
+                for words in (re.findall("[A-Za-z]+", x) for x in (text or "").split("\n")):
+                    held += [key(w.lower()) for w in words]
+                    line += [n] * len(words)
+                    n += bool(words)
+                if not n:
+                    continue
+                at, count = np.array(line, np.int64), max(0, len(held) - size + 1)
+                with np.errstate(over="ignore"):
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.array(held, np.uint64) * powers(base, len(held)), dtype=np.uint64)])
+                    hashes = (sums[size:] - sums[: len(sums) - size]) * powers(inverse, count) if count else np.zeros(0, np.uint64)
+                # A row without a hash says how many lines there are.
+                first, last = np.append(at[:count], 0), np.append(at[size - 1 :] if count else [], n)
+                mask = np.append(np.zeros(count, bool), True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(hashes, np.uint64(0)).view(np.int64), mask=mask), pa.array([path] * (count + 1), pa.string()), pa.array(first.astype(np.int64)), pa.array(last.astype(np.int64))], names=["h", "path", "first", "last"])
+
+    return run
+
+
+def clone_ratio(files: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(lines, duplicated, value, band): lines with words that are in a window of `size` words that starts on two lines.
+
+    A window travels as 8 bytes; a duplicated one is one whose least and greatest places differ, so places are only summed."""
+    rows = files.select(F.col(key).cast("string").alias("path"), F.col(text).alias("text")).where("path IS NOT NULL")
+    found = written(rows.mapInArrow(_windows(size), "h long, path string, first long, last long"), "windows")
+    place = F.struct("path", "first")
+    twice = found.where("h IS NOT NULL").groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h")
+    marked = found.join(twice, "h", "left_semi").select("path", F.explode(F.sequence("first", "last")).alias("line")).distinct().agg(F.count("*").alias("duplicated"))
+    total = found.where("h IS NULL").agg(F.coalesce(F.sum("last"), F.lit(0)).alias("lines"))
     value = guarded(F.col("duplicated"), F.col("lines"))
     return total.crossJoin(marked).select("lines", "duplicated", F.round(value, 2).alias("value"), band_of("L1.13", F.round(value, 2)).alias("band"))  # one row each
-
-
-def word_tokens(files: DataFrame, key: str, text: str) -> DataFrame:
-    """(path, pos, symbol, line) of the words of texts, line by line."""
-    split = files.select(F.col(key).alias("path"), F.posexplode(F.split(text, "\n")).alias("line", "l"))
-    words = split.select("path", "line", F.posexplode(F.regexp_extract_all("l", F.lit("[A-Za-z]+"), 0)).alias("i", "symbol"))
-    return words.select("path", (F.col("line").cast("long") * 1_000_000 + F.col("i")).alias("pos"), F.lower("symbol").alias("symbol"), "line")

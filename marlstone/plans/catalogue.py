@@ -182,15 +182,20 @@ def large_file_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.large_files(table(spark, sf_dir, "documents"), "source", size)
 
 
-@query("SELECT page_id, path, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '" + lines.ABSOLUTE + "', 2)) AS path FROM pages) GROUP BY 1, 2")
+PLACED = "SELECT page_id, html || chr(10) || regexp_replace(url, '^https?://[^/]+', '/home/u') AS text FROM pages"
+
+
+@query(f"SELECT page_id, path, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(text, '{lines.ABSOLUTE}', 2)) AS path FROM ({PLACED})) GROUP BY 1, 2")
 def absolute_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.absolute_paths(table(spark, sf_dir, "pages"), "page_id", "html")
+    """A page with its address as a place in a home folder."""
+    text = F.concat("html", F.lit("\n"), F.regexp_replace("url", "^https?://[^/]+", "/home/u"))
+    return lines.absolute_paths(table(spark, sf_dir, "pages").select("page_id", text.alias("text")), "page_id", "text")
 
 
 @query(
     "WITH f AS ("
     + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS rule, unnest(regexp_extract_all(text, '{r.replace(chr(39), chr(39) * 2)}', 1)) AS secret FROM documents" for n, r in lines.SECRETS.items())
-    + ") SELECT rule, count(DISTINCT secret) AS secrets, count(DISTINCT doc_id) AS files FROM f WHERE NOT regexp_matches(lower(secret), '(example|changeme|placeholder|your[_-]|xxxx|<|\\$\\{)') GROUP BY 1"
+    + ") SELECT rule, count(DISTINCT secret) AS secrets, count(DISTINCT doc_id) AS files FROM f WHERE NOT regexp_matches(lower(secret), '(example|changeme|placeholder|your[_-]|xxxx|<|\\$\\{|environ|getenv)') AND (rule <> 'assignment' OR list_aggregate(string_split(secret, ''), 'entropy') >= 3.0) GROUP BY 1"
 )
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.secrets(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -201,22 +206,21 @@ def license_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(F.lower("text").rlike("licen[sc]e|copyright")).alias("licensed"), F.count("*").alias("files"))
 
 
-CLONE_WORDS = 20
+CLONE_WORDS = 50
 
 
 @query(f"""
-WITH l AS (SELECT conv_id * 1000 + turn AS path, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM conversations),
+WITH l AS (SELECT doc_id AS path, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
 w AS (SELECT path, line, unnest(regexp_extract_all(l, '[A-Za-z]+')) AS symbol, generate_subscripts(regexp_extract_all(l, '[A-Za-z]+'), 1) AS i FROM l),
 t AS (SELECT path, line, lower(symbol) AS symbol, line * 1000000 + i AS pos FROM w),
 g AS (SELECT path, line, list(symbol) OVER v AS s, list(line) OVER v AS ls FROM t WINDOW v AS (PARTITION BY path ORDER BY pos ROWS BETWEEN CURRENT ROW AND {CLONE_WORDS - 1} FOLLOWING)),
-h AS (SELECT path, line, array_to_string(s, ' ') AS h, ls FROM g WHERE len(s) = {CLONE_WORDS}),
+h AS (SELECT path, line, array_to_string(s, ' ') AS h, list_distinct(ls) AS ls FROM g WHERE len(s) = {CLONE_WORDS}),
 twice AS (SELECT h FROM h GROUP BY h HAVING count(DISTINCT (path, line)) > 1),
 d AS (SELECT count(*) AS duplicated FROM (SELECT DISTINCT path, unnest(ls) AS line FROM h WHERE h IN (SELECT h FROM twice))),
 n AS (SELECT count(*) AS lines FROM (SELECT DISTINCT path, line FROM t))
 SELECT lines, duplicated, round(duplicated * 100.0::DOUBLE / nullif(lines, 0), 2) AS value, {band_of_sql("L1.13", "round(duplicated * 100.0::DOUBLE / nullif(lines, 0), 2)")} AS band FROM n, d""")
 def clone_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "conversations").withColumn("path", F.col("conv_id") * 1000 + F.col("turn"))
-    return lines.clone_ratio(lines.word_tokens(files, "path", "text"), CLONE_WORDS)
+    return lines.clone_ratio(table(spark, sf_dir, "documents"), "doc_id", "text", CLONE_WORDS)
 
 
 @query("""
@@ -248,12 +252,15 @@ c AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS na
 d AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS name FROM documents)
 SELECT name, CASE WHEN name IN (SELECT name FROM c) THEN 'config' WHEN name IN (SELECT name FROM s) THEN 'strings' WHEN name IN (SELECT name FROM d) THEN 'docs' ELSE 'dead' END AS found_in FROM n""")
 def soft_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = table(spark, sf_dir, "part").select(F.split("p_name", " ")[0].alias("name")).distinct()
-    for flag, name in (("config", "benchmark"), ("strings", "conversations"), ("docs", "documents")):
-        words = table(spark, sf_dir, name).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("name")).select(F.lower("name").alias("name"))
-        # Words meet the names before any are made distinct; which side is broadcast is left to the planner's sizes.
-        out = out.join(words.join(out.select("name"), "name", "left_semi").distinct().withColumn(flag, F.lit(flag)), "name", "left")
-    return out.select("name", F.coalesce("config", "strings", "docs", F.lit("dead")).alias("found_in"))
+    names = table(spark, sf_dir, "part").select(F.split("p_name", " ")[0].alias("name")).distinct()
+
+    def words(bucket: str, name: str) -> DataFrame:
+        each = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0), lambda w: F.lower(w)))
+        return table(spark, sf_dir, name).select(F.lit(bucket).alias("bucket"), F.explode(each).alias("word"))
+
+    every = words("config", "benchmark").union(words("strings", "conversations")).union(words("docs", "documents"))
+    found = joins.soft_reference(names, every.join(names.select(F.col("name").alias("word")), "word", "left_semi").select("bucket", "word"), ["config", "strings", "docs"])
+    return found.select("name", F.coalesce("found_in", F.lit("dead")).alias("found_in"))
 
 
 @query("""
