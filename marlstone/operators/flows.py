@@ -128,9 +128,9 @@ def edit_replay(events: DataFrame, key: str) -> DataFrame:
 
     schema = f"{key} {dict(events.dtypes)[key]}, writes long, applied long, divergences long, unanchored long, verified long, spans long, final string"
     seq = F.col("seq") if "seq" in events.columns else F.lit(0)
-    first = events.select(key, *EVENT, seq.alias("seq")).groupBy(key, "ord", "kind", "content", "old", "new").agg(F.min(F.struct("seq", "replace_all")).alias("f"))
-    place = F.dense_rank().over(Window.partitionBy(key).orderBy("f.seq")) if "seq" in events.columns else F.lit(0)
-    rows = first.select(key, "ord", "kind", "content", "old", "new", F.col("f.replace_all").alias("replace_all"), place.cast("long").alias("seq"))
+    first = events.select(key, *EVENT, seq.alias("seq")).groupBy(key, "ord", "kind", "content", "old", "new").agg(F.min(F.struct("seq", "replace_all")).alias("_first"))
+    place = F.dense_rank().over(Window.partitionBy(key).orderBy("_first.seq")) if "seq" in events.columns else F.lit(0)
+    rows = first.select(key, "ord", "kind", "content", "old", "new", F.col("_first.replace_all").alias("replace_all"), place.cast("long").alias("seq"))
     return rows.groupBy(key).applyInPandas(fold, schema)
 
 

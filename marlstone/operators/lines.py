@@ -34,7 +34,7 @@ HINTS = {
     "cloud_key": ["AKIA", "ASIA"], "source_host_token": ["gh"], "chat_token": ["xox"], "payment_key": ["k_live_"], "maps_key": ["AIza"], "web_token": ["eyJ"],
     "private_key": ["PRIVATE KEY-----"], "assignment": ["'", '"'], "connection": ["://"],
 }
-ENTROPY = 3.0
+ENTROPY = 2.5
 
 
 def lines(files: DataFrame, key: str, text: str) -> DataFrame:

@@ -195,7 +195,7 @@ def absolute_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "WITH f AS ("
     + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS rule, unnest(regexp_extract_all(text, '{r.replace(chr(39), chr(39) * 2)}', 1)) AS secret FROM documents" for n, r in lines.SECRETS.items())
-    + ") SELECT rule, count(DISTINCT secret) AS secrets, count(DISTINCT doc_id) AS files FROM f WHERE NOT regexp_matches(lower(secret), '(example|changeme|placeholder|your[_-]|xxxx|<|\\$\\{|environ|getenv)') AND (rule <> 'assignment' OR list_aggregate(string_split(secret, ''), 'entropy') >= 3.0) GROUP BY 1"
+    + ") SELECT rule, count(DISTINCT secret) AS secrets, count(DISTINCT doc_id) AS files FROM f WHERE NOT regexp_matches(lower(secret), '(example|changeme|placeholder|your[_-]|xxxx|<|\\$\\{|environ|getenv)') AND (rule <> 'assignment' OR list_aggregate(string_split(secret, ''), 'entropy') >= 2.5) GROUP BY 1"
 )
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.secrets(table(spark, sf_dir, "documents"), "doc_id", "text")
