@@ -4,11 +4,13 @@ A document is a file of its source's checkout, whose path follows from its id; a
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import lexical, paths
-from marlstone.operators import control, joins, lines, reports, verdicts
+from marlstone.operators import clauses, control, joins, lines, pysource, pystate, reports, verdicts
 from marlstone.plans.catalogue import PANEL, _panel, query, table
 from marlstone.shared import written
 from marlstone.sources import files as tree
@@ -427,3 +429,43 @@ def stream_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counted.writeStream.outputMode("complete").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
     return last[0].withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+# Source: the tables hold none, so the kernels read this library's own.
+
+
+def _source(spark: SparkSession) -> DataFrame:
+    root = Path(__file__).resolve().parent.parent
+    folders = ("functions", "operators", "plans", "sources", "streaming")
+    rows = [("marlstone", f"{d}/{p.name}", p.read_text(encoding="utf8"), False) for d in folders for p in sorted((root / d).glob("*.py"))]
+    return spark.createDataFrame(rows, "repo string, path string, text string, is_test boolean").repartition(4, "path")
+
+
+@query()
+def own_conformity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clauses.conformity(_source(spark), ["repo"])
+
+
+@query()
+def own_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clauses.clauses(_source(spark)).groupBy("clause", "status").agg(F.count("*").alias("n"))
+
+
+@query()
+def own_dead_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pysource.dead_code(_source(spark)).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query()
+def own_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pystate.classified(_source(spark))
+
+
+@query()
+def own_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pysource.function_covers(_source(spark))
+
+
+@query()
+def own_call_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.rendered_map(pysource.call_map(_source(spark)))
