@@ -342,7 +342,8 @@ def _found(docs: DataFrame, base: int, gram: int, least: int, bundle_bytes: int,
 
     def answered(posts: DataFrame, level: int, tasks: int) -> DataFrame:
         """Brings the posts to their buckets and the answers back; (bundle, n) of those that have keys that repeat."""
-        by_bucket = posts.repartition(min(buckets, MOST_TASKS), "bucket").sortWithinPartitions("bucket")
+        # A bucket is a task's work: hashing their numbers would give one task several.
+        by_bucket = posts.repartitionById(min(buckets, MOST_TASKS), (F.col("bucket") % MOST_TASKS).cast("int")).sortWithinPartitions("bucket")
         answers = by_bucket.mapInArrow(_bucket(level == least), "bundle long, bucket long, bits binary, own binary, n long")
         by_bundle = answers.repartition(tasks, "bundle").sortWithinPartitions("bundle")
         return saved(by_bundle.mapInArrow(_answer_writer(f"{root}/answers-{level}"), "bundle long, n long"), "bundles")[0]
