@@ -388,7 +388,7 @@ def _run(docs: DataFrame, least_docs: int, keys_per_shard: int, bundle_bytes: in
     keys, n = posts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     shards = max(1, -(-keys // keys_per_shard))
     # As many tasks as there is work, which adaptive planning must not merge: a row stands for a shard's part or a whole bundle.
-    routed = posts.mapInArrow(_router(shards), _ROUTED).repartition(min(shards, MOST_TASKS), "shard").sortWithinPartitions("shard")
+    routed = posts.mapInArrow(_router(shards), _ROUTED).repartitionById(min(shards, MOST_TASKS), (F.col("shard") % MOST_TASKS).cast("int")).sortWithinPartitions("shard")
     answers = routed.mapInArrow(_prober(index, least_docs), _ANSWERS)
     answers = answers.repartition(max(1, min(n, MOST_TASKS)), "bundle").sortWithinPartitions("bundle", "shard")
     more = [T.StructField("lines", T.LongType()), T.StructField("dropped", T.LongType())] if report else []
