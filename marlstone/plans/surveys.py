@@ -408,7 +408,7 @@ def exact_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.f_interval(_panel(spark, sf_dir), "c_nationkey", "v")
 
 
-@query(f"WITH p AS ({PANEL}) SELECT c_nationkey, y, round(log10(v + 1), 6) AS v FROM p")
+@query(f"WITH p AS ({PANEL}) SELECT c_nationkey, CAST(y AS INTEGER) AS y, round(log10(v + 1), 6) AS v FROM p")
 def log_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.transformed(_panel(spark, sf_dir), "v", "log10").withColumn("v", F.round("v", 6)).select("c_nationkey", "y", "v")
 
@@ -428,7 +428,8 @@ def stream_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         last[:] = [written(batch, "stream-panel")]
 
     counted.writeStream.outputMode("complete").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
-    return last[0].withColumn("start", F.col("start").cast("timestamp_ntz"))
+    found = last[0] if last else replay.stream_panel(table(spark, sf_dir, "events").limit(0), "ts", "event_type")
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 # Source: the tables hold none, so the kernels read this library's own.
