@@ -93,12 +93,14 @@ def _minima(words: np.ndarray, of_row: np.ndarray, base: int, gram: int) -> tupl
 
 
 def _runs(words: np.ndarray, of_row: np.ndarray, base: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(places, run of each place, minimum of each run, row of each run): neighbouring windows of a row with one minimum are a run."""
+    """(places, run of each place, key of each run, row of each run): neighbouring windows of a row with one minimum are a run.
+
+    The key is the minimum, mixed again: minima are small numbers, which would crowd into the first buckets."""
     places, minima = _minima(words, of_row, base, gram)
     row = np.searchsorted(of_row, places, side="right") - 1
     new = np.ones(len(places), bool)
     new[1:] = (minima[1:] != minima[:-1]) | (row[1:] != row[:-1])
-    return places, np.cumsum(new) - 1, minima[new], row[new]
+    return places, np.cumsum(new) - 1, mix64(minima[new]), row[new]
 
 
 def packed(keys: np.ndarray) -> bytes:
