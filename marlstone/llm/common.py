@@ -54,11 +54,11 @@ def _forget(spark: SparkSession, path: str) -> None:
         return
 
 
-def saved(df: DataFrame, what: str) -> tuple[DataFrame, str]:
-    """Cuts lineage: the frame written once to the shared folder and read back, and its path."""
+def saved(df: DataFrame, what: str, options: dict[str, str] | None = None) -> tuple[DataFrame, str]:
+    """Cuts lineage: the frame written once to the shared folder, with `options` of the writer, and read back, and its path."""
     spark = df.sparkSession
     path = scratch_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -37,9 +37,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.bpe import PATTERN, VOCABULARY, read_ranks, vocabulary
-from marlstone.llm.common import saved
-from marlstone.llm.textvec import mix64
+from marlstone.llm.bpe import EMITTED_BYTES, PATTERN, VOCABULARY, Encoder, encode_column, read_ranks, vocabulary
+from marlstone.llm.common import saved, tidied
+from marlstone.llm.textvec import chunks, mix64, utf8
 
 WIDTH = 16
 CLASSES = 32
@@ -50,9 +50,12 @@ FRACTION = 1.0
 ROUNDS = 3
 RATE = 0.01
 STEP_WINDOWS = 128
-BATCH_WINDOWS = 256
+BATCH_WINDOWS = 128
 SHARD_WINDOWS = 1 << 14
 SAMPLE_WINDOWS = 1 << 13
+BUNDLED_WINDOWS = 1 << 18
+PAGE_BUNDLES = 16
+LONG_BYTES = 1 << 22
 BLOCK = 4096
 NONE = 0xFFFF
 
@@ -66,35 +69,80 @@ def coder(path: str = VOCABULARY) -> tiktoken.Encoding:
     return coder_of(Path(path).read_bytes())
 
 
+class Pieces(Encoder):
+    """Encodes by pieces kept with their tokens, as operator 4 does; a new piece gets its tokens from the public library."""
+
+    def __init__(self, coder: tiktoken.Encoding):
+        self.transducer, self.find = self, None
+        self.encode_text = coder.encode_ordinary
+        self._forget()
+
+    def encode_piece(self, piece: bytes) -> list[int]:
+        return self.encode_text(piece.decode())
+
+
+@lru_cache(maxsize=1)
+def pieces_of(raw: bytes) -> Pieces:
+    return Pieces(coder_of(raw))
+
+
+def encode_texts(column: pa.Array, encoder: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows, and where each row's begin (rows + 1 values)."""
+    if len(column) == 1 and column[0].is_valid and len(column[0].as_buffer()) > LONG_BYTES:  # the pieces' places would take too much memory
+        flat = np.array(encoder.encode_text(column[0].as_py()), np.int32)
+        return flat, np.array([0, len(flat)])
+    return encode_column(column, encoder)
+
+
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A packed column of the bytes of `data`, whose rows begin at `ends` (rows + 1 values)."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def _ids(raw: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = coder_of(raw.value).encode_ordinary
+        encoder = pieces_of(raw.value)
         for batch in batches:
-            packed = [np.array(encode(t.as_py()), np.uint32).tobytes() if t.is_valid else b"" for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "ids"])
+            column = batch.column("text")
+            for lo, hi in chunks(utf8(column)[1], EMITTED_BYTES):
+                flat, at = encode_texts(column.slice(lo, hi - lo), encoder)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), _binary(flat, at * 4)], names=["doc_id", "ids"])
 
-    return run
+    return tidied(run)
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a packed column, and where each row's begin (rows + 1 values)."""
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a packed column, and where each row's begin (rows + 1 values)."""
     _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
-    return np.ascontiguousarray(raw).view(np.uint32), (at - at[0]) // 4
+    return np.ascontiguousarray(raw), at - at[0]
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        more = np.bincount(_flat(batch.column("ids"))[0])
-        if len(more) > len(total):
-            more[: len(total)] += total
-            total = more
-        else:
-            total[: len(more)] += more
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a packed column, and where each row's begin (rows + 1 values)."""
+    raw, at = _bytes(column)
+    return raw.view(np.uint32), at // 4
+
+
+def _counted(stride: int):
+    """How often each id occurs and, as id -1, how many windows there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, windows = np.zeros(0, np.int64), 0
+        for batch in batches:
+            ids, at = _flat(batch.column("ids"))
+            windows += int((-(-np.diff(at) // stride)).sum())
+            more = np.bincount(ids)
+            if len(more) > len(total):
+                more[: len(total)] += total
+                total = more
+            else:
+                total[: len(more)] += more
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], windows))], names=["id", "n"])
+
+    return run
 
 
 class Shape:
@@ -140,11 +188,32 @@ def _causal(shape: Shape) -> np.ndarray:
     return (np.arange(shape.window)[None, :] <= np.arange(context, shape.window)[:, None]).astype(np.float32)
 
 
-def _exponentials(z: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Room:
+    """Arrays that are used again: a step's are too large to ask for each time."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *size: int) -> np.ndarray:
+        """An array of this size, with whatever it held before."""
+        n = math.prod(size)
+        if name not in self.held or len(self.held[name]) < n:
+            self.held[name] = np.empty(n, np.float32)
+        return self.held[name][:n].reshape(size)
+
+
+def _longest(m: np.ndarray) -> float:
+    """The length of the longest row."""
+    return math.sqrt(((m * m) @ np.ones(m.shape[1], np.float32)).max(initial=0))
+
+
+def _softmax(z: np.ndarray, right: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray]:
     """Makes logits their exponentials; returns their sums and the loss of each row's right one.
 
-    A logit counts as -80 at least and 80 at most: float32 holds no more, and no text has been seen to reach it."""
-    np.clip(z, -80, 80, out=z)
+    A logit counts as -80 at least and 80 at most: float32 holds no more, and no text has been seen to reach it.
+    Where they are known to be `bounded` so they are not cut."""
+    if not bounded:
+        np.clip(z, -80, 80, out=z)
     chosen = z[np.arange(len(z)), right]
     np.exp(z, out=z)
     total = z @ np.ones(z.shape[1], np.float32)
@@ -157,104 +226,145 @@ def _scattered(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     order = np.argsort(at, kind="stable")
     at = at[order]
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    into[at[first]] += np.add.reduceat(rows[order], first, axis=0)
+    into[at[first]] += np.add.reduceat(np.take(rows, order, axis=0), first, axis=0)
 
 
-def run_model(shape: Shape, p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, gradient: dict[str, np.ndarray] | None = None) -> np.ndarray:
+def run_model(shape: Shape, p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, gradient: dict[str, np.ndarray] | None = None, room: Room | None = None) -> np.ndarray:
     """-log p of the targets (windows, stride); 0 where there is none.  With `gradient`, adds that of their mean.
 
-    Inputs (windows, window) are slots of the ids before, `slots` for the start of a text, NONE outside it."""
-    context, root = shape.window - shape.stride, np.float32(shape.width**-0.5)
-    flat = lambda m: m.reshape(-1, shape.width)
+    Inputs (windows, window) are slots of the ids before, `slots` for the start of a text, NONE outside it.
+    The head's products are taken in the order that needs the fewest: Q K' and V are applied to the scored places
+    only, and sums are divided by their norms where they are narrow."""
+    room, root = room or Room(), np.float32(shape.width**-0.5)
+    n, window, stride, width, context = len(inputs), shape.window, shape.stride, shape.width, shape.window - shape.stride
+    flat = lambda m: m.reshape(-1, width)
     there = inputs != NONE
-    slots = np.where(there, inputs, 0)
-    x = np.take(p["E"], slots, axis=0)
+    whole = there.all()
+    slots = inputs if whole else np.where(there, inputs, 0)
+    x = np.take(p["E"], slots, axis=0, out=room("x", n, window, width), mode="clip")
     x += p["P"]
-    xq = np.ascontiguousarray(x[:, context:])
-    q = (flat(xq) @ (p["Q"] * root)).reshape(xq.shape)
-    k, v = ((flat(x) @ p[m]).reshape(x.shape) for m in "KV")
-    a = q @ k.transpose(0, 2, 1)
-    np.minimum(a, 80, out=a)
+    xq = room("xq", n, stride, width)
+    xq[:] = x[:, context:]
+    both = p["Q"] @ p["K"].T * root
+    high = stride if gradient is None else 2 * stride
+    seen = room("seen", n, high, window)  # what each scored place sees of the others and, later, its gradient
+    of_seen = room("of_seen", n, high, width)
+    a, q = seen[:, :stride], of_seen[:, -stride:]
+    flat_q = np.matmul(flat(xq), both, out=room("q", n * stride, width))
+    q[:] = flat_q.reshape(q.shape)
+    mask, ones = _causal(shape), np.ones(window, np.float32)
+    bounded = _longest(flat_q) * _longest(flat(x)) < 80
+    total, y = room("total", n, stride), room("y", n, stride, width)
+    np.matmul(q, x.transpose(0, 2, 1), out=a)
+    if not bounded:
+        np.minimum(a, 80, out=a)
     np.exp(a, out=a)
-    a *= _causal(shape)
-    odd = np.flatnonzero(~there[:, :context].all(axis=1))  # after a text's end there is nothing to score, so only its start is masked
-    a[odd] *= there[odd][:, None, :]
-    total = (a @ np.ones(shape.window, np.float32))[:, :, None]
+    a *= mask
+    if not whole:
+        odd = np.flatnonzero(~there[:, :context].all(axis=1))  # after a text's end there is nothing to score, so only its start is masked
+        a[odd] *= there[odd][:, None, :]
+    np.matmul(a, ones, out=total)
+    np.matmul(a, x, out=y)
     total[total == 0] = 1
-    out = a @ v
-    out /= total
-    out += xq
-    scored = targets != NONE
-    every = scored.all()
-    h = flat(out) if every else out[scored]
-    target = (targets.reshape(-1) if every else targets[scored]).astype(np.int64)
+    y /= total[:, :, None]
+    out = np.matmul(flat(y), p["V"], out=room("out", n * stride, width))
+    out += flat(xq)
+    scored = np.flatnonzero(targets.reshape(-1) != NONE)
+    target = targets.reshape(-1)[scored].astype(np.int64)
     order = np.argsort((target // shape.in_class).astype(np.uint16 if shape.classes > 256 else np.uint8), kind="stable")
-    h, target = h[order], target[order]
+    scored, target = scored[order], target[order]
     group, inner = target // shape.in_class, target % shape.in_class
-    z = h @ p["C"].T
-    z += p["c"]
-    norm, loss = _exponentials(z, group)
-    dh = None
-    if gradient is not None:
-        scale = np.float32(1 / max(1, len(h)))
-        z *= (scale / norm)[:, None]
-        z[np.arange(len(h)), group] -= scale
-        dh = z @ p["C"]
-        gradient["C"] += z.T @ h
-        gradient["c"] += z.sum(axis=0)
-    edges = np.searchsorted(group, np.arange(shape.classes + 1))
-    for g in np.flatnonzero(np.diff(edges)):
-        s = slice(edges[g], edges[g + 1])
-        y = h[s] @ p["D"][g].T
-        y += p["d"][g]
-        norm, more = _exponentials(y, inner[s])
-        loss[s] += more
-        if gradient is not None:
-            y *= (scale / norm)[:, None]
-            y[np.arange(len(y)), inner[s]] -= scale
-            dh[s] += y @ p["D"][g]
-            gradient["D"][g] += y.T @ h[s]
-            gradient["d"][g] += y.sum(axis=0)
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
+    # A last column of ones takes the biases along.
+    m, rows = len(scored), np.arange(len(scored))
+    h = room("h", m, width + 1)
+    h[:, :width] = np.take(out, scored, axis=0)
+    h[:, width] = 1
+    first = np.concatenate([p["C"], p["c"][:, None]], axis=1)
+    then = np.concatenate([p["D"], p["d"][:, :, None]], axis=2)
+    far = _longest(h)
+    z = np.matmul(h, first.T, out=room("z", m, shape.classes))
+    norm, loss = _softmax(z, group, far * _longest(first) < 80)
+    edges = np.searchsorted(group, np.arange(shape.classes + 1)).tolist()
+    some = [(g, slice(edges[g], edges[g + 1])) for g in range(shape.classes) if edges[g] < edges[g + 1]]
+    w = room("w", m, shape.in_class)
+    for g, s in some:
+        np.matmul(h[s], then[g].T, out=w[s])
+    inner_norm, more = _softmax(w, inner, far * _longest(then.reshape(-1, width + 1)) < 80)
     losses = np.zeros(targets.shape, np.float32)
-    losses[scored] = loss[back]
-    if gradient is not None:
-        dout = np.zeros_like(out)
-        dout[scored] = dh[back]
-        a /= total
-        dv = a.transpose(0, 2, 1) @ dout
-        da = dout @ v.transpose(0, 2, 1)
-        da -= (da * a) @ np.ones((shape.window, 1), np.float32)
-        da *= a
-        dq, dk = da @ k, da.transpose(0, 2, 1) @ q
-        dq *= root
-        gradient["Q"] += flat(xq).T @ flat(dq)
-        gradient["K"] += flat(x).T @ flat(dk)
-        gradient["V"] += flat(x).T @ flat(dv)
-        dx = (flat(dk) @ p["K"].T + flat(dv) @ p["V"].T).reshape(x.shape)
-        dx[:, context:] += dout
-        dx[:, context:] += (flat(dq) @ p["Q"].T).reshape(dq.shape)
-        if not there.all():
-            dx *= there[:, :, None]
-        gradient["P"] += dx.sum(axis=0)
-        _scattered(gradient["E"], slots.reshape(-1), flat(dx))
+    losses.reshape(-1)[scored] = loss + more
+    if gradient is None:
+        return losses
+    scale = np.float32(1 / max(1, m))
+    z[rows, group] -= norm
+    w[rows, inner] -= inner_norm
+    norm, inner_norm = (scale / norm)[:, None], (scale / inner_norm)[:, None]
+    dfirst = z.T @ (h * norm)
+    gradient["C"] += dfirst[:, :width]
+    gradient["c"] += dfirst[:, width]
+    dh, scaled = room("dh", m, width), np.multiply(h, inner_norm, out=room("scaled", m, width + 1))
+    dthen = room("dthen", *then.shape)
+    if len(some) < shape.classes:
+        dthen[:] = 0
+    for g, s in some:
+        np.matmul(w[s], p["D"][g], out=dh[s])
+        np.matmul(w[s].T, scaled[s], out=dthen[g])
+    gradient["D"] += dthen[:, :, :width]
+    gradient["d"] += dthen[:, :, width]
+    dh *= inner_norm
+    more = np.matmul(z, p["C"], out=room("more", m, width))
+    more *= norm
+    dh += more
+    dout = room("dout", n * stride, width)
+    if m < len(dout):
+        dout[:] = 0
+    dout[scored] = dh
+    dy = np.matmul(dout, p["V"].T, out=room("dy", n * stride, width))
+    gradient["V"] += flat(y).T @ dout
+    dy, da = dy.reshape(y.shape), of_seen[:, :stride]
+    np.divide(dy, total[:, :, None], out=da)
+    common = np.einsum("nsw,nsw->ns", da, y)[:, :, None]
+    ds, dq, dx = seen[:, stride:], room("dq", n, stride, width), room("dx", n, window, width)
+    np.matmul(da, x.transpose(0, 2, 1), out=ds)
+    ds -= common
+    ds *= a
+    np.matmul(ds, x, out=dq)
+    np.matmul(seen.transpose(0, 2, 1), of_seen, out=dx)
+    dboth = flat(xq).T @ flat(dq) * root
+    gradient["Q"] += dboth @ p["K"]
+    gradient["K"] += dboth.T @ p["Q"]
+    dxq = np.matmul(flat(dq), both.T, out=flat(room("xq", n, stride, width)))
+    dxq += dout
+    dx[:, context:] += dxq.reshape(n, stride, width)
+    if not whole:
+        dx[odd] *= there[odd][:, :, None]
+    gradient["P"] += dx.sum(axis=0)
+    _scattered(gradient["E"], slots.reshape(-1), flat(dx))
     return losses
 
 
 def trained(shape: Shape, vector: np.ndarray, windows: np.ndarray, rate: float = RATE) -> np.ndarray:
     """The parameters after one pass of Adam over windows (n, window + stride) of inputs and targets."""
     vector = vector.copy()
-    p, grad = shape.parts(vector), np.zeros_like(vector)
+    p, grad, room = shape.parts(vector), np.zeros_like(vector), Room()
     g = shape.parts(grad)
-    first, second = np.zeros_like(vector), np.zeros_like(vector)
+    first, second, step_of = np.zeros_like(vector), np.zeros_like(vector), np.empty_like(vector)
     for step, lo in enumerate(range(0, len(windows), STEP_WINDOWS), 1):
         grad[:] = 0
-        part = windows[lo : lo + STEP_WINDOWS].astype(np.int64)
-        run_model(shape, p, part[:, : shape.window], part[:, shape.window :], g)
-        first += (grad - first) * np.float32(0.1)
-        second += (grad * grad - second) * np.float32(0.01)
-        vector -= np.float32(rate) * (first / np.float32(1 - 0.9**step)) / (np.sqrt(second / np.float32(1 - 0.99**step)) + np.float32(1e-8))
+        part = windows[lo : lo + STEP_WINDOWS]
+        run_model(shape, p, part[:, : shape.window], part[:, shape.window :], g, room)
+        first *= np.float32(0.9)
+        second *= np.float32(0.99)
+        np.multiply(grad, np.float32(0.1), out=step_of)
+        first += step_of
+        grad *= grad
+        grad *= np.float32(0.01)
+        second += grad
+        np.divide(second, np.float32(1 - 0.99**step), out=grad)
+        np.sqrt(grad, out=grad)
+        grad += np.float32(1e-8)
+        np.divide(first, grad, out=step_of)
+        step_of *= np.float32(rate / (1 - 0.9**step))
+        vector -= step_of
     return vector
 
 
@@ -267,15 +377,25 @@ def cut(shape: Shape, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return row, at[row] + number * shape.stride, number
 
 
+def laid(shape: Shape, slots: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows can be read off: from one place on, a window's inputs and then the last target.
+
+    Of each row the places outside it before its start, the start, its ids, and places outside it up to the last
+    window's end.  Returns all windows (a view) and the number of each row's first."""
+    n, context = np.diff(at), shape.window - shape.stride
+    size = context + 1 + -(-n // shape.stride) * shape.stride
+    base = np.cumsum(size) - size
+    line = np.full(int(size.sum()) + shape.window + 1, NONE, np.uint16)
+    line[base + context] = shape.classes * shape.in_class
+    line[np.arange(len(slots)) + np.repeat(base + context + 1 - at[:-1], n)] = slots
+    return np.lib.stride_tricks.sliding_window_view(line, shape.window + 1), base
+
+
 def _filled(shape: Shape, slots: np.ndarray, at: np.ndarray, row: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Inputs and targets of windows."""
-    place = first[:, None] + np.arange(shape.stride - shape.window, shape.stride)
-    begin, end = at[row][:, None], at[row + 1][:, None]
-    before = place - 1
-    inputs = np.where((before >= begin) & (place < end), slots[np.clip(before, 0, max(0, len(slots) - 1))], NONE)
-    inputs[place == begin] = shape.classes * shape.in_class
-    targets = place[:, shape.window - shape.stride :]
-    return inputs, np.where(targets < end, slots[np.minimum(targets, len(slots) - 1)], NONE)
+    every, base = laid(shape, slots, at)
+    windows = every[base[row] + first - at[row]]
+    return windows[:, : shape.window], windows[:, shape.window - shape.stride + 1 :]
 
 
 def rounds_for(windows: float, least: int = ROUNDS) -> int:
@@ -283,13 +403,8 @@ def rounds_for(windows: float, least: int = ROUNDS) -> int:
     return max(least, math.isqrt(int(windows) // SHARD_WINDOWS))
 
 
-def packed(shape: Shape, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Windows as the inputs up to the first scored place and the targets, which are the inputs after it."""
-    return np.concatenate([inputs[:, : shape.window - shape.stride + 1], targets], axis=1).astype(np.uint16)
-
-
 def unpacked(shape: Shape, windows: np.ndarray) -> np.ndarray:
-    """(n, window + stride) of packed windows.  The input after a text's last id is that id, where nothing is scored."""
+    """(n, window + stride) of packed windows, whose targets are the inputs after them.  The input after a text's last id is that id, where nothing is scored."""
     return np.concatenate([windows[:, : shape.window], windows[:, shape.window - shape.stride + 1 :]], axis=1)
 
 
@@ -306,23 +421,65 @@ def _sampled(shape: Shape, fraction: float, rounds: int):
             of_row = np.zeros(len(at) - 1, np.uint64)
             of_row[np.diff(at) > 0] = salt
             hashes = mix64(of_row[row] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            slots, every = shape.slot_of[ids], np.flatnonzero(hashes <= limit)
+            laid_out, base = laid(shape, shape.slot_of[ids], at)
+            place, every = base[row] + first - at[row], np.flatnonzero(hashes <= limit)
             for lo in range(0, len(every), SAMPLE_WINDOWS):
                 chosen = every[lo : lo + SAMPLE_WINDOWS]
-                raw = packed(shape, *_filled(shape, slots, at, row[chosen], first[chosen]))
+                raw = laid_out[place[chosen]]
                 turn = (mix64(hashes[chosen]) % np.uint64(rounds)).astype(np.int32)
-                place = pa.array(hashes[chosen].view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(turn), place, pa.array([r.tobytes() for r in raw], pa.binary())], names=["turn", "place", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(turn), pa.array(hashes[chosen].view(np.int64)), _binary(raw, np.arange(len(raw) + 1) * 2 * raw.shape[1])], names=["turn", "place", "ids"])
 
     return run
 
 
+def _bundled(shape: Shape, fraction: float, rounds: int, shards: int):
+    """The windows of a task by the shard that trains on them, at most BUNDLED_WINDOWS at a time: a row for each, not for each window."""
+
+    def bundle(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        turn, place = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("turn", "place"))
+        raw = np.concatenate([_bytes(b.column("ids"))[0] for b in held]).reshape(len(turn), -1)
+        key = turn.astype(np.int64) * shards + (mix64(place.view(np.uint64)) // np.uint64(rounds) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        ends = np.append(starts, len(key))
+        turn, shard = (key[starts] // shards).astype(np.int32), (key[starts] % shards).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(turn), pa.array(shard), _binary(place[order], ends * 8), _binary(raw[order], ends * raw.shape[1])], names=["turn", "shard", "places", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces_of.cache_clear()  # all is encoded
+        held, n = [], 0
+        for batch in _sampled(shape, fraction, rounds)(batches):
+            held.append(batch)
+            n += batch.num_rows
+            if n >= BUNDLED_WINDOWS:
+                yield bundle(held)
+                held, n = [], 0
+        if held:
+            yield bundle(held)
+
+    return tidied(run)
+
+
+def _in_order(shape: Shape, batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    """The packed windows of bundles by their places, those of one place by what they hold."""
+    places, windows = [np.zeros(0, np.uint8)], [np.zeros(0, np.uint8)]
+    for batch in batches:
+        places.append(_bytes(batch.column("places"))[0])
+        windows.append(_bytes(batch.column("ids"))[0])
+    place = np.concatenate(places).view(np.int64)
+    raw = np.concatenate(windows).reshape(len(place), 2 * (shape.window + 1))
+    return raw[np.lexsort((raw.view(f"S{raw.shape[1]}")[:, 0], place))].view(np.uint16)
+
+
 def _trainer(shape: Shape, vector: np.ndarray, rate: float):
+    """Trains on the windows of a shard, which is a task's."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = b"".join(w.as_py() for batch in batches for w in batch.column("ids"))
-        if not raw:
+        windows = _in_order(shape, batches)
+        if not len(windows):
             return
-        windows = unpacked(shape, np.frombuffer(raw, np.uint16).reshape(-1, shape.window + 1))
+        windows = unpacked(shape, windows)
         weight = float((windows[:, shape.window :] != NONE).sum())
         after = trained(shape, vector, windows, rate)
         blocks = [(after[i : i + BLOCK].astype(np.float64) * weight).astype(np.float32).tobytes() for i in range(0, len(after), BLOCK)]
@@ -343,18 +500,19 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(means, pa.binary())], names=["block", "means"])
 
 
-def fit(ids: DataFrame, shape: Shape, fraction: float = FRACTION, rounds: int = ROUNDS, rate: float = RATE) -> np.ndarray:
-    """The parameters, trained on `fraction` of all windows of the packed ids, in `rounds` rounds at least."""
+def fit(ids: DataFrame, shape: Shape, fraction: float = FRACTION, rounds: int = ROUNDS, rate: float = RATE, windows: int | None = None) -> np.ndarray:
+    """The parameters, trained on `fraction` of all `windows` of the packed ids, in `rounds` rounds at least."""
     vector = shape.start()
     tokens = shape.slot_counts.sum() - len(shape.slot_counts)
     rounds = rounds_for(fraction * tokens / shape.stride, rounds)
-    windows = ids.mapInArrow(_sampled(shape, fraction, rounds), "turn int, place long, ids binary")
-    sample, _ = saved(windows.sortWithinPartitions("turn"), "lm-windows")  # so that a round reads only its pages
-    sizes = {r["turn"]: r["n"] for r in sample.groupBy("turn").agg(F.count("*").alias("n")).collect()}
+    if windows is None:
+        windows = ids.mapInArrow(_counted(shape.stride), "id long, n long").where("id = -1").agg(F.sum("n")).first()[0] or 0
+    shards = max(1, math.ceil(fraction * windows / rounds / SHARD_WINDOWS))
+    bundles = ids.mapInArrow(_bundled(shape, fraction, rounds, shards), "turn int, shard int, places binary, ids binary")
+    sample, _ = saved(bundles.sortWithinPartitions("turn"), "lm-windows", {"parquet.page.row.count.limit": str(PAGE_BUNDLES)})  # so that a round reads only its pages
     parts = max(1, min(-(-shape.total // BLOCK), int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     for turn in range(rounds):
-        shards = max(1, -(-sizes.get(turn, 0) // SHARD_WINDOWS))
-        mine = sample.where(F.col("turn") == turn).select("place", "ids").repartition(shards, "place").sortWithinPartitions("place", "ids")
+        mine = sample.where(F.col("turn") == turn).select("shard", "places", "ids").repartitionById(shards, F.col("shard"))
         local = mine.mapInArrow(_trainer(shape, vector, rate / math.sqrt(1 + turn)), "block long, weight double, sums binary")
         means = local.repartition(parts, "block").mapInArrow(_averaged, "block long, means binary").collect()
         if means:
@@ -362,29 +520,30 @@ def fit(ids: DataFrame, shape: Shape, fraction: float = FRACTION, rounds: int =
     return vector
 
 
-def losses(shape: Shape, p: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+def losses(shape: Shape, p: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray, room: Room | None = None) -> np.ndarray:
     """The sum of -log p over the ids of each row."""
-    out = np.zeros(len(at) - 1)
+    out, room = np.zeros(len(at) - 1), room or Room()
     if not len(ids):
         return out
-    slots = shape.slot_of[ids]
+    every, base = laid(shape, shape.slot_of[ids], at)
     row, first, _ = cut(shape, at)
+    place = base[row] + first - at[row]
     for lo in range(0, len(row), BATCH_WINDOWS):
         mine = slice(lo, lo + BATCH_WINDOWS)
-        found = run_model(shape, p, *_filled(shape, slots, at, row[mine], first[mine]))
+        windows = every[place[mine]]
+        found = run_model(shape, p, windows[:, : shape.window], windows[:, shape.window - shape.stride + 1 :], room=room)
         out += np.bincount(row[mine], weights=found.sum(axis=1), minlength=len(out))
-    of_row = np.searchsorted(at, np.arange(len(ids)), side="right") - 1
-    return out + np.bincount(of_row, weights=shape.extra[ids], minlength=len(out))
+    return out + np.bincount(np.repeat(np.arange(len(out)), np.diff(at)), weights=shape.extra[ids], minlength=len(out))
 
 
 def _scorer(shape: Shape, vector: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = shape.parts(vector)
+        p, room = shape.parts(vector), Room()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 ids, at = _flat(part.column("ids"))
-                n, nll = np.diff(at), losses(shape, p, ids, at)
+                n, nll = np.diff(at), losses(shape, p, ids, at, room)
                 mean = pa.array(nll / np.maximum(n, 1), mask=n == 0)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(nll), mean], names=["doc_id", "n_tokens", "nll", "mean_nll"])
 
@@ -395,7 +554,9 @@ def scores(docs: DataFrame, path: str = VOCABULARY, fraction: float = FRACTION,
     """(doc_id, n_tokens, nll, mean_nll) of every row, in nats; the counts that the driver gets are bounded by the vocabulary."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids, _ = saved(rows.mapInArrow(_ids(vocabulary(docs.sparkSession, path)), "doc_id long, ids binary"), "lm-ids")
-    counts = ids.mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    shape = Shape({r["id"]: r["n"] for r in counts}, coder(path).n_vocab, **shape_of)
-    vector = fit(ids, shape, fraction, rounds)
+    stride = shape_of.get("stride", STRIDE)
+    counts = {r["id"]: r["n"] for r in ids.mapInArrow(_counted(stride), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    windows = counts.pop(-1, 0)
+    shape = Shape(counts, coder(path).n_vocab, **shape_of)
+    vector = fit(ids, shape, fraction, rounds, windows=windows)
     return ids.mapInArrow(_scorer(shape, vector), "doc_id long, n_tokens long, nll double, mean_nll double")

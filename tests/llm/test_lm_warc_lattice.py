@@ -85,6 +85,65 @@ def test_every_window_is_trained_on_and_rounds_grow():
     assert lm.rounds_for(1000) == lm.ROUNDS and lm.rounds_for(400 * lm.SHARD_WINDOWS) == 20
 
 
+def test_a_models_gradient_is_that_of_its_mean_loss():
+    rng = np.random.default_rng(4)
+    shape = lm.Shape({i: 40 - i for i in range(30)}, 40, width=5, classes=4, in_class=4, window=7, stride=4)
+    slots, at = rng.integers(0, 16, 61), np.array([0, 1, 1, 18, 61])
+    row, first, _ = lm.cut(shape, at)
+    inputs, targets = lm._filled(shape, slots, at, row, first)
+    for r, f, i, t in zip(row, first, inputs, targets, strict=True):
+        for j, place in enumerate(range(f - 3, f + 4)):
+            before = 16 if place == at[r] else slots[place - 1] if at[r] < place else lm.NONE
+            assert i[j] == before or at[r + 1] < place
+            assert j < 3 or t[j - 3] == (slots[place] if place < at[r + 1] else lm.NONE)
+    room, vector = lm.Room(), shape.start() * 3
+    lm.run_model(shape, shape.parts(vector), inputs[:3], targets[:3], shape.parts(np.zeros_like(vector)), room)  # leaves something in the room
+    gradient = np.zeros_like(vector)
+    found = lm.run_model(shape, shape.parts(vector), inputs, targets, shape.parts(gradient), room)
+    assert np.allclose(found, lm.run_model(shape, shape.parts(vector), inputs, targets), atol=1e-5)
+    mean = lambda v: lm.run_model(shape, shape.parts(v), inputs, targets).astype(float).sum() / (targets != lm.NONE).sum()
+    for name in shape.sizes:
+        there = np.zeros_like(vector)
+        shape.parts(there)[name][:] = rng.standard_normal(shape.sizes[name])
+        step = there * np.float32(2e-3)
+        assert (mean(vector + step) - mean(vector - step)) / 4e-3 == pytest.approx(float(gradient @ there), rel=0.02, abs=2e-3), name
+
+
+def test_windows_travel_in_bundles_and_none_is_lost(monkeypatch):
+    texts = corpus(200) * 2
+    ids = [np.array(lm.coder().encode_ordinary(t), np.int32) for t in texts]
+    flat, at = np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+    shape = lm.Shape(dict(enumerate(np.bincount(flat))), lm.coder().n_vocab, classes=8, in_class=8)
+    row, first, _ = lm.cut(shape, at)
+    every, base = lm.laid(shape, shape.slot_of[flat], at)
+    want = sorted(w.tobytes() for w in every[base[row] + first - at[row]])
+    batches = [pa.RecordBatch.from_pydict({"ids": pa.array([x.tobytes() for x in part], pa.binary())}) for part in (ids[:150], ids[150:], [np.zeros(0, np.int32)])]
+
+    def shards(batches, most):
+        monkeypatch.setattr(lm, "BUNDLED_WINDOWS", most)
+        made = list(lm._bundled(shape, lm.FRACTION, 3, 2)(iter(batches)))
+        keys = {(t, s) for b in made for t, s in zip(b.column("turn").to_pylist(), b.column("shard").to_pylist(), strict=True)}
+        mine = lambda b, k: b.filter(pa.array([(t, s) == k for t, s in zip(b.column("turn").to_pylist(), b.column("shard").to_pylist(), strict=True)]))
+        return {k: lm._in_order(shape, iter([mine(b, k) for b in made])).tobytes() for k in keys}, sum(b.num_rows for b in made)
+
+    one, rows = shards(batches, 1 << 18)
+    size = 2 * (shape.window + 1)
+    assert rows == len(one) == 6 and sorted(x[i : i + size] for x in one.values() for i in range(0, len(x), size)) == want
+    assert shards(batches[::-1], 100)[0] == one
+    assert len(lm._in_order(shape, iter([]))) == 0
+
+
+def test_ids_are_those_of_the_public_library(monkeypatch):
+    texts = ["don't  stop \n\n\t now'll we're", "", None, "é€😀 ½٣ x" * 50, " '", "'s'S", "a" * 3000, "<|endoftext|>", "   ", "tail \n "]
+    encoder = lm.pieces_of(open(lm.VOCABULARY, "rb").read())
+    want = [lm.coder().encode_ordinary(t or "") for t in texts]
+    for most in (lm.LONG_BYTES, 1):
+        monkeypatch.setattr(lm, "LONG_BYTES", most)
+        for part in ([texts], [[t] for t in texts]):
+            found = [x for p in part for flat, at in [lm.encode_texts(pa.array(p, pa.string()), encoder)] for x in np.split(flat, at[1:-1])]
+            assert [x.tolist() for x in found] == want
+
+
 def test_scores_of_odd_rows(spark):
     rows = [(1, "some words here"), (1, "some words here"), (None, "x"), (2, None), (3, ""), (4, "long " * 20_000)]
     docs = spark.createDataFrame([(d, t, "clash", 1) for d, t in rows], TEXT)
