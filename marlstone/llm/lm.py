@@ -6,15 +6,18 @@ its share of their counts, so that the model gives every id a probability.  Slot
 form `classes` classes: the model predicts the class and then the slot in it.
 
 The model is one layer: embeddings of slot and place, one masked attention head, a residual, two softmaxes.
-It is trained data-parallel on all windows of the corpus (`fraction` of them), shuffled by a hash of their ids
-into shards of about SHARD_WINDOWS, in the order of that hash.  In each round every shard of the round's
+It is trained data-parallel on all windows of the corpus (`fraction` of them), shuffled by a hash of what they hold
+into shards of about SHARD_WINDOWS, in the order of that hash.  So equal windows meet: they are computed once and
+count as often as they occur, and a step is of as many occurrences as before.  In each round every shard of the round's
 windows trains from the same parameters; these are averaged, weighted by tokens, block by block in a shuffle,
 and the next round starts from the average.  The rounds are at least `rounds` and as many as the shards of
 each: both grow with the square root of the corpus, so that more text makes more steps one after another.
 The driver gets one set of parameters a round.
 
 Scoring runs over windows of `window` ids that overlap: each scores its last `stride` ids, with those before
-as context, so that every id is scored exactly once, many windows in one batch.  Long texts are scored a
+as context, so that every id is scored exactly once, many windows in one batch; of equal windows among
+SCORED_WINDOWS one is computed, for all of them.  The last bits of float32 products depend on what else is in a
+batch, so a window's loss is rounded to 1 / GRID: equal texts get equal scores, but where they are at a rounding's edge.  Long texts are scored a
 bounded number of windows at a time.
 
 Defined results: a null or empty text has 0 tokens, a `nll` of 0 and a null `mean_nll`; rows without a
@@ -50,7 +53,9 @@ FRACTION = 1.0
 ROUNDS = 3
 RATE = 0.01
 STEP_WINDOWS = 128
-BATCH_WINDOWS = 128
+BATCH_WINDOWS = 256
+SCORED_WINDOWS = 1 << 17
+GRID = 1 << 12
 SHARD_WINDOWS = 1 << 14
 SAMPLE_WINDOWS = 1 << 13
 BUNDLED_WINDOWS = 1 << 18
@@ -229,8 +234,8 @@ def _scattered(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     into[at[first]] += np.add.reduceat(np.take(rows, order, axis=0), first, axis=0)
 
 
-def run_model(shape: Shape, p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, gradient: dict[str, np.ndarray] | None = None, room: Room | None = None) -> np.ndarray:
-    """-log p of the targets (windows, stride); 0 where there is none.  With `gradient`, adds that of their mean.
+def run_model(shape: Shape, p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, gradient: dict[str, np.ndarray] | None = None, room: Room | None = None, times: np.ndarray | None = None) -> np.ndarray:
+    """-log p of the targets (windows, stride); 0 where there is none.  With `gradient`, adds that of their mean, each window counted `times`.
 
     Inputs (windows, window) are slots of the ids before, `slots` for the start of a text, NONE outside it.
     The head's products are taken in the order that needs the fewest: Q K' and V are applied to the scored places
@@ -294,7 +299,8 @@ def run_model(shape: Shape, p: dict[str, np.ndarray], inputs: np.ndarray, target
     losses.reshape(-1)[scored] = loss + more
     if gradient is None:
         return losses
-    scale = np.float32(1 / max(1, m))
+    scale = np.ones(m, np.float32) if times is None else times.astype(np.float32)[scored // stride]
+    scale /= max(1, scale.sum())
     z[rows, group] -= norm
     w[rows, inner] -= inner_norm
     norm, inner_norm = (scale / norm)[:, None], (scale / inner_norm)[:, None]
@@ -342,16 +348,24 @@ def run_model(shape: Shape, p: dict[str, np.ndarray], inputs: np.ndarray, target
     return losses
 
 
-def trained(shape: Shape, vector: np.ndarray, windows: np.ndarray, rate: float = RATE) -> np.ndarray:
-    """The parameters after one pass of Adam over windows (n, window + stride) of inputs and targets."""
+def steps_of(times: np.ndarray) -> list[tuple[int, int]]:
+    """The windows of each step: STEP_WINDOWS occurrences, or up to the last window that begins among them."""
+    step = (np.cumsum(times) - times) // STEP_WINDOWS
+    edges = np.flatnonzero(np.diff(step, prepend=-1, append=-1)).tolist()
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def trained(shape: Shape, vector: np.ndarray, windows: np.ndarray, rate: float = RATE, times: np.ndarray | None = None) -> np.ndarray:
+    """The parameters after one pass of Adam over windows (n, window + stride) of inputs and targets, each of which occurs `times`."""
+    times = np.ones(len(windows), np.int64) if times is None else times
     vector = vector.copy()
     p, grad, room = shape.parts(vector), np.zeros_like(vector), Room()
     g = shape.parts(grad)
     first, second, step_of = np.zeros_like(vector), np.zeros_like(vector), np.empty_like(vector)
-    for step, lo in enumerate(range(0, len(windows), STEP_WINDOWS), 1):
+    for step, (lo, hi) in enumerate(steps_of(times), 1):
         grad[:] = 0
-        part = windows[lo : lo + STEP_WINDOWS]
-        run_model(shape, p, part[:, : shape.window], part[:, shape.window :], g, room)
+        part = windows[lo:hi]
+        run_model(shape, p, part[:, : shape.window], part[:, shape.window :], g, room, times[lo:hi])
         first *= np.float32(0.9)
         second *= np.float32(0.99)
         np.multiply(grad, np.float32(0.1), out=step_of)
@@ -408,6 +422,26 @@ def unpacked(shape: Shape, windows: np.ndarray) -> np.ndarray:
     return np.concatenate([windows[:, : shape.window], windows[:, shape.window - shape.stride + 1 :]], axis=1)
 
 
+def hashed(windows: np.ndarray) -> np.ndarray:
+    """A hash of what each packed window holds."""
+    factors = mix64(np.arange(1, windows.shape[1] + 1, dtype=np.uint64)) | np.uint64(1)
+    return mix64(windows.astype(np.uint64) @ factors)
+
+
+def distinct(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different packed windows in order, and for every window the number of the one that it equals."""
+    hashes = np.concatenate([hashed(windows[lo : lo + SAMPLE_WINDOWS]) for lo in range(0, len(windows), SAMPLE_WINDOWS)])
+    order = np.argsort(hashes, kind="stable")
+    new = np.append(True, np.diff(hashes[order]) != 0)
+    same = np.flatnonzero(~new)
+    new[same] = (windows[order[same]] != windows[order[same - 1]]).any(axis=1)
+    firsts = order[new]  # of equal hashes the order is that of the windows
+    number, which = np.empty(len(firsts), np.int64), np.empty(len(order), np.int64)
+    number[np.argsort(firsts)] = np.arange(len(firsts))
+    which[order] = number[np.cumsum(new) - 1]
+    return windows[np.sort(firsts)], which
+
+
 def _sampled(shape: Shape, fraction: float, rounds: int):
     limit = np.uint64(min(int(fraction * 2**64), 2**64 - 1))
 
@@ -416,35 +450,49 @@ def _sampled(shape: Shape, fraction: float, rounds: int):
             ids, at = _flat(batch.column("ids"))
             if not len(ids):
                 continue
-            row, first, number = cut(shape, at)
-            salt = np.add.reduceat(mix64(ids.astype(np.uint64)), at[:-1][np.diff(at) > 0])
-            of_row = np.zeros(len(at) - 1, np.uint64)
-            of_row[np.diff(at) > 0] = salt
-            hashes = mix64(of_row[row] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            laid_out, base = laid(shape, shape.slot_of[ids], at)
-            place, every = base[row] + first - at[row], np.flatnonzero(hashes <= limit)
-            for lo in range(0, len(every), SAMPLE_WINDOWS):
-                chosen = every[lo : lo + SAMPLE_WINDOWS]
-                raw = laid_out[place[chosen]]
-                turn = (mix64(hashes[chosen]) % np.uint64(rounds)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(turn), pa.array(hashes[chosen].view(np.int64)), _binary(raw, np.arange(len(raw) + 1) * 2 * raw.shape[1])], names=["turn", "place", "ids"])
+            row, first, _ = cut(shape, at)
+            every, base = laid(shape, shape.slot_of[ids], at)
+            place = base[row] + first - at[row]
+            for lo in range(0, len(place), SAMPLE_WINDOWS):
+                raw = every[place[lo : lo + SAMPLE_WINDOWS]]
+                hashes = hashed(raw)
+                chosen = hashes <= limit
+                raw, hashes = raw[chosen], hashes[chosen]
+                if not len(raw):
+                    continue
+                turn = (mix64(hashes) % np.uint64(rounds)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(turn), pa.array(hashes.view(np.int64)), _binary(raw, np.arange(len(raw) + 1) * 2 * raw.shape[1])], names=["turn", "place", "ids"])
 
     return run
 
 
+def _merged(raw: np.ndarray, place: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal windows begin, and how often each occurs."""
+    new = np.append(True, np.diff(place) != 0)[: len(place)]
+    same = np.flatnonzero(~new)
+    new[same] = (raw[same] != raw[same - 1]).any(axis=1)
+    starts = np.flatnonzero(new)
+    times = np.ones(len(place), np.int64) if times is None else times
+    return starts, np.add.reduceat(times, starts) if len(starts) else times
+
+
 def _bundled(shape: Shape, fraction: float, rounds: int, shards: int):
-    """The windows of a task by the shard that trains on them, at most BUNDLED_WINDOWS at a time: a row for each, not for each window."""
+    """The windows of a task by the shard that trains on them, about BUNDLED_WINDOWS at a time: a row for each, not for each window.
+
+    Equal windows of a bundle travel once, with how often they occur, so that no shard gets all copies of a frequent one."""
 
     def bundle(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         turn, place = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("turn", "place"))
         raw = np.concatenate([_bytes(b.column("ids"))[0] for b in held]).reshape(len(turn), -1)
         key = turn.astype(np.int64) * shards + (mix64(place.view(np.uint64)) // np.uint64(rounds) % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
+        order = np.lexsort((place, key))
+        key, place, raw = key[order], place[order], raw[order]
+        starts, times = _merged(raw, place)
+        key, place, raw = key[starts], place[starts], raw[starts]
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         ends = np.append(starts, len(key))
         turn, shard = (key[starts] // shards).astype(np.int32), (key[starts] % shards).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(turn), pa.array(shard), _binary(place[order], ends * 8), _binary(raw[order], ends * raw.shape[1])], names=["turn", "shard", "places", "ids"])
+        return pa.RecordBatch.from_arrays([pa.array(turn), pa.array(shard), _binary(place, ends * 8), _binary(times, ends * 8), _binary(raw, ends * raw.shape[1])], names=["turn", "shard", "places", "times", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces_of.cache_clear()  # all is encoded
@@ -461,27 +509,36 @@ def _bundled(shape: Shape, fraction: float, rounds: int, shards: int):
     return tidied(run)
 
 
-def _in_order(shape: Shape, batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-    """The packed windows of bundles by their places, those of one place by what they hold."""
-    places, windows = [np.zeros(0, np.uint8)], [np.zeros(0, np.uint8)]
+def _occurring(shape: Shape, batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """The different packed windows of bundles by their places, those of one place by what they hold, and how often each occurs."""
+    places, counts, windows = [np.zeros(0, np.uint8)], [np.zeros(0, np.uint8)], [np.zeros(0, np.uint8)]
     for batch in batches:
         places.append(_bytes(batch.column("places"))[0])
+        counts.append(_bytes(batch.column("times"))[0])
         windows.append(_bytes(batch.column("ids"))[0])
-    place = np.concatenate(places).view(np.int64)
+    place, times = np.concatenate(places).view(np.int64), np.concatenate(counts).view(np.int64)
     raw = np.concatenate(windows).reshape(len(place), 2 * (shape.window + 1))
-    return raw[np.lexsort((raw.view(f"S{raw.shape[1]}")[:, 0], place))].view(np.uint16)
+    order = np.lexsort((raw.view(f"S{raw.shape[1]}")[:, 0], place))
+    raw = raw[order]
+    starts, times = _merged(raw, place[order], times[order])
+    return raw[starts].view(np.uint16), times
+
+
+def _in_order(shape: Shape, batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    """The packed windows of bundles in the same order, each as often as it occurs."""
+    return np.repeat(*_occurring(shape, batches), axis=0)
 
 
 def _trainer(shape: Shape, vector: np.ndarray, rate: float):
     """Trains on the windows of a shard, which is a task's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = _in_order(shape, batches)
+        windows, times = _occurring(shape, batches)
         if not len(windows):
             return
         windows = unpacked(shape, windows)
-        weight = float((windows[:, shape.window :] != NONE).sum())
-        after = trained(shape, vector, windows, rate)
+        weight = float((windows[:, shape.window :] != NONE).sum(axis=1) @ times)
+        after = trained(shape, vector, windows, rate, times)
         blocks = [(after[i : i + BLOCK].astype(np.float64) * weight).astype(np.float32).tobytes() for i in range(0, len(after), BLOCK)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int64()), pa.array([weight] * len(blocks)), pa.array(blocks, pa.binary())], names=["block", "weight", "sums"])
 
@@ -508,11 +565,11 @@ def fit(ids: DataFrame, shape: Shape, fraction: float = FRACTION, rounds: int =
     if windows is None:
         windows = ids.mapInArrow(_counted(shape.stride), "id long, n long").where("id = -1").agg(F.sum("n")).first()[0] or 0
     shards = max(1, math.ceil(fraction * windows / rounds / SHARD_WINDOWS))
-    bundles = ids.mapInArrow(_bundled(shape, fraction, rounds, shards), "turn int, shard int, places binary, ids binary")
+    bundles = ids.mapInArrow(_bundled(shape, fraction, rounds, shards), "turn int, shard int, places binary, times binary, ids binary")
     sample, _ = saved(bundles.sortWithinPartitions("turn"), "lm-windows", {"parquet.page.row.count.limit": str(PAGE_BUNDLES)})  # so that a round reads only its pages
     parts = max(1, min(-(-shape.total // BLOCK), int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     for turn in range(rounds):
-        mine = sample.where(F.col("turn") == turn).select("shard", "places", "ids").repartitionById(shards, F.col("shard"))
+        mine = sample.where(F.col("turn") == turn).select("shard", "places", "times", "ids").repartitionById(shards, F.col("shard"))
         local = mine.mapInArrow(_trainer(shape, vector, rate / math.sqrt(1 + turn)), "block long, weight double, sums binary")
         means = local.repartition(parts, "block").mapInArrow(_averaged, "block long, means binary").collect()
         if means:
@@ -528,11 +585,15 @@ def losses(shape: Shape, p: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarr
     every, base = laid(shape, shape.slot_of[ids], at)
     row, first, _ = cut(shape, at)
     place = base[row] + first - at[row]
-    for lo in range(0, len(row), BATCH_WINDOWS):
-        mine = slice(lo, lo + BATCH_WINDOWS)
-        windows = every[place[mine]]
-        found = run_model(shape, p, windows[:, : shape.window], windows[:, shape.window - shape.stride + 1 :], room=room)
-        out += np.bincount(row[mine], weights=found.sum(axis=1), minlength=len(out))
+    for lo in range(0, len(row), SCORED_WINDOWS):
+        mine = slice(lo, lo + SCORED_WINDOWS)
+        windows, which = distinct(every[place[mine]])
+        found = np.zeros(len(windows), np.float32)
+        for low in range(0, len(windows), BATCH_WINDOWS):
+            part = windows[low : low + BATCH_WINDOWS]
+            found[low : low + BATCH_WINDOWS] = run_model(shape, p, part[:, : shape.window], part[:, shape.window - shape.stride + 1 :], room=room).sum(axis=1)
+        found = np.round(found.astype(np.float64) * GRID) / GRID
+        out += np.bincount(row[mine], weights=found[which], minlength=len(out))
     return out + np.bincount(np.repeat(np.arange(len(out)), np.diff(at)), weights=shape.extra[ids], minlength=len(out))
 
 
@@ -540,8 +601,8 @@ def _scorer(shape: Shape, vector: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, room = shape.parts(vector), Room()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo, hi in chunks(_flat(batch.column("ids"))[1], SCORED_WINDOWS * shape.stride):
+                part = batch.slice(lo, hi - lo)
                 ids, at = _flat(part.column("ids"))
                 n, nll = np.diff(at), losses(shape, p, ids, at, room)
                 mean = pa.array(nll / np.maximum(n, 1), mask=n == 0)

@@ -133,6 +133,29 @@ def test_windows_travel_in_bundles_and_none_is_lost(monkeypatch):
     assert len(lm._in_order(shape, iter([]))) == 0
 
 
+def test_equal_windows_are_computed_once_and_count_as_often_as_they_occur(monkeypatch):
+    ids = [np.array(lm.coder().encode_ordinary(t), np.uint32) for t in corpus(60)]
+    ids = [*ids, *ids[:25], *ids[:10]]
+    flat, at = np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+    shape = lm.Shape(dict(enumerate(np.bincount(flat))), lm.coder().n_vocab, classes=8, in_class=8)
+    batch = pa.RecordBatch.from_pydict({"ids": pa.array([x.tobytes() for x in ids], pa.binary())})
+    bundles = list(lm._bundled(shape, lm.FRACTION, 1, 1)(iter([batch])))
+    windows, times = lm._occurring(shape, iter(bundles))
+    every = lm._in_order(shape, iter(bundles))
+    assert len(np.unique(every, axis=0)) == len(windows) < len(every) == times.sum() == len(lm.cut(shape, at)[0])
+    assert sum(len(b.column("ids")[0].as_buffer()) for b in bundles) == windows.nbytes
+    monkeypatch.setattr(lm, "STEP_WINDOWS", int(times.sum()))
+    one, all_of = (lm.trained(shape, shape.start(), lm.unpacked(shape, w), 1e-3, t) for w, t in ((windows, times), (every, None)))
+    assert np.quantile(abs(one - all_of), 0.99) < 1e-5 < abs(one - shape.start()).max()
+    assert lm.steps_of(np.array([1] * 7)) == [(0, 7)]
+    monkeypatch.setattr(lm, "STEP_WINDOWS", 4)
+    assert lm.steps_of(np.array([1, 1, 3, 1, 9, 1])) == [(0, 3), (3, 5), (5, 6)]
+    seen, model = [], lm.run_model
+    monkeypatch.setattr(lm, "run_model", lambda shape, p, inputs, *more, **named: seen.append(len(inputs)) or model(shape, p, inputs, *more, **named))
+    found = lm.losses(shape, shape.parts(all_of), flat, at)
+    assert sum(seen) == len(windows) and (found[:25] == found[60:85]).all() and (found[:10] == found[85:]).all()
+
+
 def test_ids_are_those_of_the_public_library(monkeypatch):
     texts = ["don't  stop \n\n\t now'll we're", "", None, "é€😀 ½٣ x" * 50, " '", "'s'S", "a" * 3000, "<|endoftext|>", "   ", "tail \n "]
     encoder = lm.pieces_of(open(lm.VOCABULARY, "rb").read())
