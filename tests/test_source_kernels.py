@@ -176,6 +176,25 @@ def test_conformity_and_allowances(spark):
     assert (clean.value, clean.band) == (100.0, "Healthy") and clauses.conformity(one.limit(0), ["repo"]).collect() == []
 
 
+def test_allowances_reach_down_and_are_never_broadcast(spark, tmp_path):
+    rng = random.Random(5)
+    some = lambda n: [(rng.choice([None, "a", "b"]), rng.choice([None, 1, 2]), rng.choice([None, *range(-40, 40)]), i) for i in range(n)]
+    notes = [(*r[:3], rng.choice([None, " ", "x", "y", "z"])) for r in some(60)]
+    spark.createDataFrame(notes, "path string, clause int, line long, reason string").coalesce(1).write.parquet(f"{tmp_path}/n")
+    found = spark.createDataFrame(some(400), "path string, clause int, line long, id int")
+    for reach in (0, 3, 11):
+        got = joins.allowed(found, spark.read.parquet(f"{tmp_path}/n"), reach)
+        assert got.columns == ["path", "clause", "line", "id", "reason"]
+        # Each note on 301 lines was taken for as small as its file: that was broadcast, and ended the driver.
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "sequence" not in plan
+        rows = got.collect()
+        assert len(rows) == 400
+        for r in rows:
+            near = [(r.line - n, x) for p, c, n, x in notes if None not in (r.path, r.clause, r.line, n, x) and (p, c) == (r.path, r.clause) and x.strip() and 0 <= r.line - n <= reach]
+            assert r.reason == (min(near)[1] if near else None)
+
+
 def test_dead_code(spark):
     rows = [
         ("app.py", "from lib import used\nimport wired\nused()\n\ndef main():\n    return helper()\n\ndef helper():\n    return 1\n\ndef recursive():\n    return recursive()\n\n@route\ndef view(): pass\n\nif __name__ == '__main__':\n    main()\n", False),
