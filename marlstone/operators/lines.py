@@ -15,6 +15,8 @@ from marlstone.functions.bands import band_of, guarded
 from marlstone.shared import written
 
 KEPT_WORDS = 1 << 18
+#: Windows of a bundle of texts, bytes of text for each shard of hashes, and the most tasks for either.
+BUNDLE_WINDOWS, SHARD_BYTES, MOST_TASKS = 1 << 21, 16 << 20, 4096
 
 #: A path from a user's or machine's root, not inside a longer path, name or URL, or from a drive letter.
 ABSOLUTE = r"(^|[^A-Za-z0-9._/:~-])(/(?:home|Users|root|tmp|opt|mnt|private|media)/[A-Za-z0-9._/-]+|[A-Za-z]:\\[A-Za-z0-9._\\-]{2,})"
@@ -101,8 +103,9 @@ def path_band(files: DataFrame, key: str, text: str) -> DataFrame:
     return n.select("files", "found", F.when(F.col("files") == 0, "n/a").when(F.col("found") > 0, "Slop").otherwise("Healthy").alias("band"))
 
 
-def _windows(size: int):
-    """(hash, path, first, last) of every window of words, by the numbers of its first and last lines among those with words."""
+def _hashes(size: int):
+    """A function of a text: (hash, first, last) of every window of words, by the numbers of its first and last lines among those
+    with words, and how many such lines there are."""
     keys: dict[str, int] = {}
     base, inverse = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -119,37 +122,138 @@ def _windows(size: int):
             found = keys[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
         return found
 
+    def hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        held, line, n = [], [], 0
+        for words in (re.findall("[A-Za-z]+", x) for x in text.split("\n")):
+            held += [key(w.lower()) for w in words]
+            line += [n] * len(words)
+            n += bool(words)
+        count = len(held) - size + 1
+        if count <= 0:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), n
+        at = np.array(line, np.int64)
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.array(held, np.uint64) * powers(base, len(held)), dtype=np.uint64)])
+            return (sums[size:] - sums[: len(sums) - size]) * powers(inverse, count), at[:count], at[size - 1 :], n
+
+    return hashes
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """All first bytes, all second ones and so on: those of small numbers, or small steps, are mostly zeros, which any compression takes out."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _unplaned(raw: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def _bundler(size: int, shards: int, most: int):
+    """Rows (bundle, shard, lines, n, data) of bundles of some `most` windows: for each shard the n different hashes in its range, sorted,
+    by their steps, and as shard -1 the bundle's n windows: for each the rank of its hash, or -1 if it starts on two lines of the bundle."""
+
+    def bundled(texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], lines: int) -> pa.RecordBatch:
+        hashes, first, last = (np.concatenate([t[i] for t in texts]) for i in range(3))
+        order = np.argsort(hashes, kind="stable")
+        new = np.concatenate([[True], np.diff(hashes[order]) != 0])[: len(order)]
+        start, rank = np.flatnonzero(new), np.empty(len(order), np.int32)
+        rank[order] = np.cumsum(new) - 1
+        ends = np.append(start[1:], len(order))[: len(start)] - 1
+        rank[(first[order[start]] != first[order[ends]])[rank]] = -1  # lines only grow, so these are the least and the greatest
+        unique = hashes[order[start]]
+        edges = np.searchsorted((unique >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1))
+        some = np.flatnonzero(np.diff(edges))
+        own = np.concatenate([edges, rank, np.diff(first, prepend=0), np.diff(last, prepend=0)]).astype(np.int32)
+        data = [_planes(np.diff(unique[edges[s] : edges[s + 1]], prepend=np.uint64(0))) for s in some] + [pa.compress(_planes(own), "zstd", asbytes=True)]
+        bundle, rest = int(np.random.default_rng().integers(1 << 62)), [0] * len(some)
+        columns = [[bundle] * len(data), [*some.tolist(), -1], [*rest, lines], [*np.diff(edges)[some].tolist(), len(hashes)]]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(data, pa.binary())], names=["bundle", "shard", "lines", "n", "data"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, texts, lines, held = _hashes(size), [], 0, 0
         for batch in batches:
-            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                held, line, n = [], [], 0
-                for words in (re.findall("[A-Za-z]+", x) for x in (text or "").split("\n")):
-                    held += [key(w.lower()) for w in words]
-                    line += [n] * len(words)
-                    n += bool(words)
-                if not n:
-                    continue
-                at, count = np.array(line, np.int64), max(0, len(held) - size + 1)
-                with np.errstate(over="ignore"):
-                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.array(held, np.uint64) * powers(base, len(held)), dtype=np.uint64)])
-                    hashes = (sums[size:] - sums[: len(sums) - size]) * powers(inverse, count) if count else np.zeros(0, np.uint64)
-                # A row without a hash says how many lines there are.
-                first, last = np.append(at[:count], 0), np.append(at[size - 1 :] if count else [], n)
-                mask = np.append(np.zeros(count, bool), True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(hashes, np.uint64(0)).view(np.int64), mask=mask), pa.array([path] * (count + 1), pa.string()), pa.array(first.astype(np.int64)), pa.array(last.astype(np.int64))], names=["h", "path", "first", "last"])
+            for text in batch.column("text"):
+                h, first, last, n = hashes(text.as_py() or "")
+                texts.append((h, first + lines, last + lines))
+                lines, held = lines + n, held + len(h)
+                if held >= most or lines >= most:
+                    yield bundled(texts, lines)
+                    texts, lines, held = [], 0, 0
+        if lines:
+            yield bundled(texts, lines)
 
     return run
 
 
-def clone_ratio(files: DataFrame, key: str, text: str, size: int) -> DataFrame:
+def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, list[dict]]]:
+    """The rows of each value of a column that they are sorted by."""
+    current, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if rows and row[by] != current:
+                yield current, rows
+                rows = []
+            current = row[by]
+            rows.append(row)
+    if rows:
+        yield current, rows
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bits of a shard's hashes of each bundle: whether another bundle has the hash. A bundle without any has no row."""
+    for shard, rows in _groups(batches, "shard"):
+        each = [np.cumsum(_unplaned(r.pop("data"), np.uint64), dtype=np.uint64) for r in rows]
+        every = np.sort(np.concatenate(each))
+        again = every[1:][every[1:] == every[:-1]]
+        found = []
+        for row, mine in zip(rows, each, strict=True):
+            at = np.searchsorted(again, mine)
+            hit = again[np.minimum(at, len(again) - 1)] == mine if len(again) else np.zeros(0, bool)
+            if hit.any():
+                found.append((row["bundle"], shard, 0, row["n"], np.packbits(hit).tobytes()))
+        if found:
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["bundle", "shard", "lines", "n", "data"])
+
+
+def _covered(shards: int):
+    """(n): a bundle's lines that are in a window which starts on two lines, by its windows and the bits of its hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _groups(batches, "bundle"):
+            own = next(r for r in rows if r["shard"] < 0)
+            n = own["n"]
+            parts = _unplaned(pa.decompress(own["data"], 4 * (shards + 1 + 3 * n), "zstd", asbytes=True), np.int32)
+            edges, rank, first, last = np.split(parts, [shards + 1, shards + 1 + n, shards + 1 + 2 * n])
+            twice = np.zeros(edges[-1] + 1, bool)
+            twice[-1] = True  # for rank -1
+            for r in rows:
+                if r["shard"] >= 0:
+                    twice[edges[r["shard"]] : edges[r["shard"] + 1]] = np.unpackbits(np.frombuffer(r["data"], np.uint8), count=r["n"])
+            marked, size = twice[rank], own["lines"] + 1
+            inside = np.bincount(np.cumsum(first)[marked], minlength=size) - np.bincount(np.cumsum(last)[marked] + 1, minlength=size)
+            yield pa.RecordBatch.from_arrays([pa.array([np.count_nonzero(np.cumsum(inside) > 0)], pa.int64())], names=["n"])
+
+    return run
+
+
+_PARTS = "bundle long, shard long, lines long, n long, data binary"
+
+
+def clone_ratio(files: DataFrame, key: str, text: str, size: int, bundle_windows: int = BUNDLE_WINDOWS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(lines, duplicated, value, band): lines with words that are in a window of `size` words that starts on two lines.
 
-    A window travels as 8 bytes; a duplicated one is one whose least and greatest places differ, so places are only summed."""
-    rows = files.select(F.col(key).cast("string").alias("path"), F.col(text).alias("text")).where("path IS NOT NULL")
-    found = written(rows.mapInArrow(_windows(size), "h long, path string, first long, last long"), "windows")
-    place = F.struct("path", "first")
-    twice = found.where("h IS NOT NULL").groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h")
-    marked = found.join(twice, "h", "left_semi").select("path", F.explode(F.sequence("first", "last")).alias("line")).distinct().agg(F.count("*").alias("duplicated"))
-    total = found.where("h IS NULL").agg(F.coalesce(F.sum("last"), F.lit(0)).alias("lines"))
+    A row is a file. A bundle of texts sends each of its hashes once, packed, to the shard of the hash's range, and gets back a bit
+    for each that another bundle has too: some 6 bytes a window go out, and 3 are kept to mark its lines. A shard is one task's
+    work, and their number follows the text."""
+    rows = files.where(F.col(key).isNotNull()).select(F.col(text).alias("text"))
+    shards = max(1, -(-rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // shard_bytes))
+    parts = written(rows.mapInArrow(_bundler(size, shards, bundle_windows), _PARTS), "windows")
+    own = parts.where("shard < 0")
+    lines_, bundles = own.agg(F.coalesce(F.sum("lines"), F.lit(0)), F.count("*")).first()
+    # As many tasks as there is work, which adaptive planning must not merge: a row stands for a shard's part or a whole bundle.
+    sent = parts.where("shard >= 0").repartitionById(min(shards, MOST_TASKS), (F.col("shard") % MOST_TASKS).cast("int")).sortWithinPartitions("shard")
+    back = own.union(sent.mapInArrow(_met, _PARTS)).repartition(max(1, min(bundles, MOST_TASKS)), "bundle").sortWithinPartitions("bundle")
+    marked = back.mapInArrow(_covered(shards), "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("duplicated"))
     value = guarded(F.col("duplicated"), F.col("lines"))
-    return total.crossJoin(marked).select("lines", "duplicated", F.round(value, 2).alias("value"), band_of("L1.13", F.round(value, 2)).alias("band"))  # one row each
+    return marked.select(F.lit(lines_).cast("long").alias("lines"), "duplicated").select("lines", "duplicated", F.round(value, 2).alias("value"), band_of("L1.13", F.round(value, 2)).alias("band"))

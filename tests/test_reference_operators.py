@@ -1,6 +1,8 @@
 """The operators outside the training-data subpackage: queries against DuckDB, kernels against small cases."""
 
 import datetime
+import random
+import re
 
 import duckdb
 import pytest
@@ -87,6 +89,37 @@ def test_lines(spark):
     assert lines.clone_ratio(twice.limit(0), "path", "text", 20).first().band == "n/a"
 
 
+def test_clones_in_any_bundles_and_few_bytes_a_window(spark, tmp_path):
+    rng = random.Random(3)
+    texts = ["\n".join(" ".join(rng.choice(["Ab", "b", "cd-3"][: rng.choice([2, 3])]) for _ in range(rng.randrange(9))) for _ in range(rng.randrange(12))) for _ in range(60)]
+    texts += [texts[7], "", None, "12 34\n--\n", "one\n" * 30, " ".join("abcdefgh") + "\n" + " ".join("abcdefgh")]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3).cache()
+    for size in (1, 4, 8):
+        starts, spans, total = {}, [], 0
+        for d, text in enumerate(texts):
+            told = [w for w in ([x.lower() for x in re.findall("[A-Za-z]+", line)] for line in (text or "").split("\n")) if w]
+            words, total = [(i, w) for i, line in enumerate(told) for w in line], total + len(told)
+            for at in range(len(words) - size + 1):
+                window = words[at : at + size]
+                starts.setdefault(tuple(w for _, w in window), set()).add((d, window[0][0]))
+                spans.append((tuple(w for _, w in window), {(d, i) for i, _ in window}))
+        want = (total, len(set().union(*(s for w, s in spans if len(starts[w]) > 1))))
+        for bundle, shard in ((1 << 21, 1 << 24), (40, 300), (1, 4000)):
+            row = lines.clone_ratio(frame, "id", "text", size, bundle, shard).first()
+            assert (row.lines, row.duplicated) == want, (size, bundle, shard)
+    frame.unpersist()
+    many = [(i, "\n".join(" ".join(rng.choice("abcdefghij") + rng.choice("klmnopqrst") for _ in range(12)) for _ in range(100))) for i in range(80)]
+    spark.createDataFrame(many, "id long, text string").coalesce(2).write.parquet(f"{tmp_path}/d")
+
+    def moved() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = moved()
+    assert lines.clone_ratio(spark.read.parquet(f"{tmp_path}/d"), "id", "text", 50).first().lines == 8000
+    assert moved() - before < 12 * 80 * 1200
+
+
 @pytest.mark.parametrize(
     ("edges", "paths_"),
     [
