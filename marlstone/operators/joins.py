@@ -57,24 +57,42 @@ def ratchet(now: DataFrame, baseline: DataFrame, key: str) -> DataFrame:
     return now.join(baseline, key, "left_anti").select(key, F.lit("new").alias("verdict")).unionByName(baseline.join(now, key, "left_anti").select(key, F.lit("gone").alias("verdict")))
 
 
-HOPS = 4
+#: Steps of a round where the edges are few, and the most rows that are few.
+HOPS, FEW = 4, 1 << 16
+
+
+def _small(rows: DataFrame, n: int) -> DataFrame:
+    """The right side of a semi or anti join, sent to all executors only if its n rows are few."""
+    return F.broadcast(rows) if n <= FEW else rows.hint("merge")
+
+
+def _sizes(front: DataFrame) -> tuple[int, int]:
+    """How many nodes, and how many of them are NULL."""
+    return tuple(front.agg(F.count("*"), F.count_if(F.col("node").isNull())).first())
 
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node) reached from `roots` (node) over `edges` (u, v), however long the way.
 
-    Each round takes HOPS steps from the nodes that the last one found, and is written; it ends when none is new, so cycles
-    and many ways to a node cost nothing more, and a lost executor costs one round."""
+    Each round steps from the nodes that the last one found, and is written; it ends when none is new, so cycles and many ways to
+    a node cost nothing more, and a lost executor costs one round. The edges stay where they are: a round looks its nodes up in
+    them, so what the driver sends is the nodes found, and those of a large round are joined by sorting. Only few edges, where a
+    round's steps can't be many rows either, are stepped over HOPS times a round."""
     edges = written(edges.select("u", "v").distinct(), "reach-edges")
+    hops = HOPS if edges.count() <= FEW else 1
     front = written(roots.select("node").distinct(), "reached")
-    known, parts = front, 1
-    while front.limit(1).count():
-        step = ahead = front
-        for _ in range(HOPS):
-            step = step.join(edges, step["node"] == edges["u"]).select(F.col("v").alias("node")).distinct()
-            ahead = ahead.union(step)
-        front = written(ahead.distinct().join(known, "node", "left_anti"), "reached")
-        known, parts = known.union(front), parts + 1
+    known, parts, (n, nulls) = front, 1, _sizes(front)
+    total = n
+    while n:
+        step, near, ahead = front, n, None
+        for _ in range(hops):
+            step = edges.join(_small(step, near), F.col("u") == F.col("node"), "left_semi").select(F.col("v").alias("node")).distinct()
+            ahead, near = step if ahead is None else ahead.union(step).distinct(), 0
+        if nulls:  # which no join would find among the known
+            ahead = ahead.where("node IS NOT NULL")
+        front = written(ahead.join(_small(known, total), "node", "left_anti"), "reached")
+        known, parts, (n, more) = known.union(front), parts + 1, _sizes(front)
+        total, nulls = total + n, nulls + more
         if parts > 8:  # so that a long way doesn't make a long plan
             known, parts = written(known, "reached"), 1
     return known

@@ -248,6 +248,31 @@ def test_reachability_on_deep_wide_and_cyclic_graphs(spark):
     assert joins.reachable(edges, spark.createDataFrame([], "node long")).collect() == []
 
 
+@pytest.mark.parametrize("few", [0, 9, 1 << 16])
+def test_reachability_however_many_rows_are_few(spark, monkeypatch, few):
+    monkeypatch.setattr(joins, "FEW", few)
+    rng = random.Random(few)
+    pairs = [tuple(rng.choice([None, *range(60)]) for _ in "uv") for _ in range(70)]
+    found = {0, 1, None}
+    while more := {v for u, v in pairs if u is not None and u in found} - found:
+        found |= more
+    reached = joins.reachable(spark.createDataFrame(pairs, "u long, v long"), spark.createDataFrame([(0,), (1,), (0,), (None,)], "node long"))
+    assert sorted((r.node for r in reached.collect()), key=str) == sorted(found, key=str)
+
+
+def test_reachability_sends_no_edges_to_the_driver(spark):
+    def sent() -> int:
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).resultSize() for i in range(stages.size()))
+
+    far = spark.range(100, 300_100).selectExpr("id AS u", "(id * 7919) % 300007 + 100 AS v")
+    before = sent()
+    assert joins.reachable(far.union(spark.createDataFrame([(i, i + 1) for i in range(5)], "u long, v long")), spark.createDataFrame([(0,)], "node long")).count() == 6
+    assert sent() - before < 2_000_000
+
+
 def test_intervals_and_quantiles(spark):
     assert control.f_quantile(0.95, 5, 10) == pytest.approx(3.32583, abs=1e-4) and control.f_quantile(0.975, 1, 1) == pytest.approx(647.789, rel=1e-5)
     panel = spark.createDataFrame([(g, float(10 * g + i)) for g in range(4) for i in range(3)], "g int, v double")
