@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.bands import band_of, guarded
-from marlstone.shared import written
+from marlstone.shared import release, written
 
 KEPT_WORDS = 1 << 18
 #: Windows of a bundle of texts, bytes of text for each shard of hashes, and the most tasks for either.
-BUNDLE_WINDOWS, SHARD_BYTES, MOST_TASKS = 1 << 21, 16 << 20, 4096
+BUNDLE_WINDOWS, SHARD_BYTES, MOST_TASKS = 1 << 19, 16 << 20, 4096
 
 #: A path from a user's or machine's root, not inside a longer path, name or URL, or from a drive letter.
 ABSOLUTE = r"(^|[^A-Za-z0-9._/:~-])(/(?:home|Users|root|tmp|opt|mnt|private|media)/[A-Za-z0-9._/-]+|[A-Za-z]:\\[A-Za-z0-9._\\-]{2,})"
@@ -130,8 +130,8 @@ def _hashes(size: int):
             n += bool(words)
         count = len(held) - size + 1
         if count <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), n
-        at = np.array(line, np.int64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), n
+        at = np.array(line, np.int32)
         with np.errstate(over="ignore"):
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.array(held, np.uint64) * powers(base, len(held)), dtype=np.uint64)])
             return (sums[size:] - sums[: len(sums) - size]) * powers(inverse, count), at[:count], at[size - 1 :], n
@@ -163,7 +163,7 @@ def _bundler(size: int, shards: int, most: int):
         unique = hashes[order[start]]
         edges = np.searchsorted((unique >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1))
         some = np.flatnonzero(np.diff(edges))
-        own = np.concatenate([edges, rank, np.diff(first, prepend=0), np.diff(last, prepend=0)]).astype(np.int32)
+        own = np.concatenate([edges.astype(np.int32), rank, np.diff(first, prepend=np.int32(0)), np.diff(last, prepend=np.int32(0))])
         data = [_planes(np.diff(unique[edges[s] : edges[s + 1]], prepend=np.uint64(0))) for s in some] + [pa.compress(_planes(own), "zstd", asbytes=True)]
         bundle, rest = int(np.random.default_rng().integers(1 << 62)), [0] * len(some)
         columns = [[bundle] * len(data), [*some.tolist(), -1], [*rest, lines], [*np.diff(edges)[some].tolist(), len(hashes)]]
@@ -174,13 +174,15 @@ def _bundler(size: int, shards: int, most: int):
         for batch in batches:
             for text in batch.column("text"):
                 h, first, last, n = hashes(text.as_py() or "")
-                texts.append((h, first + lines, last + lines))
+                texts.append((h, first + np.int32(lines), last + np.int32(lines)))
                 lines, held = lines + n, held + len(h)
                 if held >= most or lines >= most:
                     yield bundled(texts, lines)
                     texts, lines, held = [], 0, 0
         if lines:
             yield bundled(texts, lines)
+        del texts
+        release()
 
     return run
 
@@ -214,6 +216,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if found:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["bundle", "shard", "lines", "n", "data"])
+        del rows, each, every, again, found
+    release()
 
 
 def _covered(shards: int):
@@ -233,6 +237,7 @@ def _covered(shards: int):
             marked, size = twice[rank], own["lines"] + 1
             inside = np.bincount(np.cumsum(first)[marked], minlength=size) - np.bincount(np.cumsum(last)[marked] + 1, minlength=size)
             yield pa.RecordBatch.from_arrays([pa.array([np.count_nonzero(np.cumsum(inside) > 0)], pa.int64())], names=["n"])
+        release()
 
     return run
 

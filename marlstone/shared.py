@@ -1,11 +1,13 @@
-"""Tables written to the folder that all executors share, to cut lineage between rounds of a loop."""
+"""Tables written to the folder that all executors share, to cut lineage between rounds of a loop; memory of workers."""
 
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,3 +37,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     atexit.register(_remove, spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Gives memory that a worker no longer uses back to the machine: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
