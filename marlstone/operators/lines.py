@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.bands import band_of, guarded
-from marlstone.shared import release, written
+from marlstone.shared import release, remove, split, written
 
 KEPT_WORDS = 1 << 18
 #: Windows of a bundle of texts, bytes of text for each shard of hashes, and the most tasks for either.
@@ -253,12 +253,13 @@ def clone_ratio(files: DataFrame, key: str, text: str, size: int, bundle_windows
     work, and their number follows the text."""
     rows = files.where(F.col(key).isNotNull()).select(F.col(text).alias("text"))
     shards = max(1, -(-rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // shard_bytes))
-    parts = written(rows.mapInArrow(_bundler(size, shards, bundle_windows), _PARTS), "windows")
-    own = parts.where("shard < 0")
+    sent, own = split(rows.mapInArrow(_bundler(size, shards, bundle_windows), _PARTS), F.col("shard") < 0, "windows")
     lines_, bundles = own.agg(F.coalesce(F.sum("lines"), F.lit(0)), F.count("*")).first()
     # As many tasks as there is work, which adaptive planning must not merge: a row stands for a shard's part or a whole bundle.
-    sent = parts.where("shard >= 0").repartitionById(min(shards, MOST_TASKS), (F.col("shard") % MOST_TASKS).cast("int")).sortWithinPartitions("shard")
-    back = own.union(sent.mapInArrow(_met, _PARTS)).repartition(max(1, min(bundles, MOST_TASKS)), "bundle").sortWithinPartitions("bundle")
+    routed = sent.repartitionById(min(shards, MOST_TASKS), (F.col("shard") % MOST_TASKS).cast("int")).sortWithinPartitions("shard")
+    bits = written(routed.mapInArrow(_met, _PARTS), "met")
+    remove(sent)
+    back = own.union(bits).repartition(max(1, min(bundles, MOST_TASKS)), "bundle").sortWithinPartitions("bundle")
     marked = back.mapInArrow(_covered(shards), "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("duplicated"))
     value = guarded(F.col("duplicated"), F.col("lines"))
     return marked.select(F.lit(lines_).cast("long").alias("lines"), "duplicated").select("lines", "duplicated", F.round(value, 2).alias("value"), band_of("L1.13", F.round(value, 2)).alias("band"))
